@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, tokenfile
+from . import decontamination, licenses, neardup, packing, sharding, tokenfile
 from .common import shared_path, table, tune
 
 
@@ -29,6 +29,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between white space, 2-word shingles, as this query's contract has them."""
+    return neardup.near_duplicates(table(tune(spark), sf_dir, "documents"), shingle=2, words="space")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -37,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_license_scan": op7_license_scan,
     "op10_packing": op10_packing,
 }
 
@@ -62,4 +73,35 @@ items AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_near_duplicates": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)""",
+    "op7_license_scan": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("text")} AS w FROM documents),
+p(words, label) AS (VALUES {", ".join(f"({p.split(' ')}, '{label}')" for p, label in licenses.PHRASES.items())}),
+hits AS (
+  SELECT doc_id, i - 1 AS k, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p
+  WHERE w[i] = words[1] AND list_slice(w, i, i + len(words) - 1) = words),
+base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word FROM hits GROUP BY doc_id),
+t(id, label, words, need) AS (VALUES {", ".join(f"({i}, '{label}', {licenses.template_words(text)}, {licenses.need_of(licenses.template_words(text), licenses.THRESHOLD)})" for i, (label, text) in enumerate(licenses.TEMPLATES))}),
+lines AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([^.!?:\n])\n([a-z(])', '\1 \2', 'g'), chr(10))) AS line FROM d),
+blocks AS (SELECT doc_id, {WORDS.format("line")} AS w FROM lines),
+shares AS (
+  SELECT doc_id, label, len(list_intersect(w, words)) AS c, len(words) AS n, need FROM blocks, t WHERE len(w) >= need),
+found AS (SELECT doc_id, label, max(c / n) AS share FROM shares WHERE c >= need GROUP BY ALL),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM hits) GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(b.s, '') AS base_labels,
+  coalesce(a.s, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN best USING (doc_id)""",
 }
