@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, neardup, packing, sharding, tokenfile
+from . import decontamination, licenses, neardup, neighbours, packing, sharding, tokenfile, toxicity
 from .common import shared_path, table, tune
 
 
@@ -23,6 +23,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(tune(spark), sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(tune(spark), sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(tune(spark), "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -45,6 +55,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_license_scan": op7_license_scan,
