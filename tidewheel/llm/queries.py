@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, neardup, neighbours, packing, sharding, tokenfile, toxicity
+from . import decontamination, licenses, neardup, neighbours, packing, passages, sharding, tokenfile, toxicity
 from .common import shared_path, table, tune
 
 
@@ -48,6 +48,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage of a document: its words (end exclusive) and the earlier documents that have it."""
+    found = passages.repeated(table(tune(spark), sf_dir, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.first").alias("first_word"), F.col("s.last").alias("end_word"), F.col("s.sources").alias("source_doc_ids"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_license_scan": op7_license_scan,
+    "op8_repeated_passages": op8_repeated_passages,
     "op10_packing": op10_packing,
 }
 
