@@ -1,23 +1,49 @@
 """Exact, cached encoding with a tokenizer file.
 
 Both supported pre-tokenizers always start a new piece at a space that stands between two
-other characters, so the ids of a text are the ids of its space-separated chunks in a row.
-Chunks recur, so each worker keeps their ids and calls the tokenizer for new ones only.
+other characters, and where letters end, so the ids of a text are the ids of its
+space-separated chunks in a row, and those of a chunk "word," are those of "word" and ",".
+Chunks and words recur, so each worker process keeps their ids and calls the tokenizer for
+new ones only. New words go to it as one text; its ids fall apart again at the tokens that
+begin (or end) a word.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import zlib
 
 import numpy as np
 
-LIMIT = 250_000
+LIMIT = 400_000
+#: What stays when the limit is reached: short chunks, which recur most.
+SHORT = 8
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Marks of a text's first chunk and of a text that is one chunk; no UTF-8 text has these characters.
+FIRST, WHOLE = "\ud800", "\ud801"
+#: A mark or none, a word of common letters, and what follows it, if that has no letter, digit or space.
+TAILED = re.compile(rf"([\n{FIRST}]?)([{LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+#: White space that a byte-level pre-tokenizer may keep together: two in a row, but for a line break and one more before a word.
+BLANK = re.compile(r"(?!(?<!\s)\n[\n ](?!\s|\Z))\s\s|\A\s|\s\Z")
+OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
+ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> ChunkEncoder:
+    """The encoder of this worker process, with what it already knows."""
+    if (path, spaced) not in ENCODERS:
+        ENCODERS[path, spaced] = ChunkEncoder(path, spaced)
+    return ENCODERS[path, spaced]
 
 
 class ChunkEncoder:
-    """``spaced``: a chunk's space belongs to it (byte-level BPE); else white space is dropped.
+    """Texts to ids, chunk by chunk.
 
-    In the spaced form two spaces in a row would be one piece, so such texts are encoded whole.
+    ``spaced``, for byte-level BPE: a chunk has its space or line break before it. Texts with
+    other white space than one space or one or two line breaks between words, or with a
+    special token, are one chunk. Else white space is dropped and a word's last token ends
+    in </w>.
     """
 
     def __init__(self, path: str, spaced: bool, limit: int = LIMIT):
@@ -26,40 +52,92 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.limit = spaced, limit
-        self.cache: dict[str, bytes] = {}
-        self.narrow = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
-        self.dtype = np.dtype("<u2" if self.narrow else "<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.edge = np.array([(t or "").startswith("Ġ") if spaced else (t or "").endswith("</w>") for t in map(self.tokenizer.id_to_token, range(size))])
+        self.cache: dict[str, bytes] = {"": b""}
+        self.newline = self.ids(["\n"])[0]
 
-    def fill(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, ids in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(ids.ids, dtype=self.dtype).tobytes()
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def text_of(self, chunk: str) -> str:
+        if not self.spaced or chunk[:1] == "\n":
+            return chunk
+        return chunk[1:] if chunk[:1] in (FIRST, WHOLE) else " " + chunk
 
     def chunks(self, text: str) -> list[str]:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        if "  " in text:
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
+        if (len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(c in text for c in OTHER_SPACES)) and BLANK.search(text) or any(t in text for t in self.special):
+            return [WHOLE + text]
+        return (FIRST + text.replace("\n", " \n")).split(" ")
+
+    def fill(self, chunks: set[str]) -> None:
+        cache = self.cache
+        new = chunks.difference(cache)
+        if len(cache) + len(new) > self.limit:
+            for c in [c for c in cache if len(c) > SHORT and c not in chunks]:
+                del cache[c]
+            if 2 * len(cache) > self.limit:
+                for c in [c for c in cache if c and c not in chunks]:
+                    del cache[c]
+        plain = [c for c in new if c.isalpha()] if self.spaced else [c for c in new if c.isalpha() and c.islower()]
+        split, words, starts, tails = [], set(), set(), set()
+        for chunk in new.difference(plain):
+            if not (match := TAILED.fullmatch(chunk)):
+                continue
+            mark, word, tail = match.groups()
+            if not self.spaced:
+                word = word.lower()
+            split.append((chunk, mark, word, tail))
+            (starts if mark else words).add(word)
+            tails.add(tail)
+        rest = list(new.difference(plain, (s[0] for s in split)))
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            cache.update(zip(part, self.ids([self.text_of(c) for c in part]), strict=True))
+        words.difference_update(cache, plain)
+        self.joined([*plain, *words], cache, " ")
+        begun: dict[str, bytes] = {}
+        self.joined(list(starts), begun, "\n")
+        ends = dict(zip(tails, self.ids(list(tails)), strict=True))
+        before = {"\n": self.newline, FIRST: b""}
+        for chunk, mark, word, tail in split:
+            cache[chunk] = (before[mark] + begun[word] if mark else cache[word]) + ends[tail]
+
+    def joined(self, words: list[str], into: dict[str, bytes], between: str) -> None:
+        """Ids of words of letters, as they are after ``between``, from one text of many."""
+        size = self.dtype.itemsize
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            lead = " " if self.spaced and between == " " else ""
+            raw = self.ids([lead + between.join(part)])[0]
+            ids = np.frombuffer(raw, dtype=self.dtype)
+            if between == "\n":
+                cuts = np.flatnonzero(ids == np.frombuffer(self.newline, dtype=self.dtype)[0])
+                starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            else:
+                cuts = np.flatnonzero(self.edge[ids])
+                starts, ends = (cuts, np.append(cuts[1:], len(ids))) if self.spaced else (np.append(0, cuts[:-1] + 1), cuts + 1)
+            if len(ends) == len(part):
+                into.update((w, raw[a:b]) for w, a, b in zip(part, (starts * size).tolist(), (ends * size).tolist(), strict=True))
+            else:  # not as expected of such words
+                into.update(zip(part, self.ids([lead + w for w in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
         split = [self.chunks(t) for t in texts]
-        self.fill(set().union(*split))
+        every = set().union(*split)
+        self.fill(every)
         get = self.cache.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
-        if any(len(c) > 256 for chunks in split for c in chunks[:1]):
-            self.cache = {c: ids for c, ids in self.cache.items() if len(c) <= 256}
+        for long in [c for c in every if len(c) > 256]:
+            del self.cache[long]
         return out
 
 
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    import zlib
-
     return zlib.crc32(ids.astype("<u4").tobytes())

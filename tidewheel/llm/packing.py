@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, partitions, slices
-from .encoding import ChunkEncoder, crc32_ids
+from .encoding import crc32_ids
+from .encoding import encoder as encoder_of
 
 LENGTH = 2048
 BUCKETS, DIMENSIONS, BITS = 256, 4, 8
@@ -70,11 +71,11 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int, spaced: bool) ->
     """doc_id, Hilbert key, number of ids and the ids (with the end id) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, spaced)
+        encoder = encoder_of(tokenizer, spaced)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         matrix = projection()
         for batch in batches:
-            for part, texts in slices(batch, limit=1 << 20):
+            for part, texts in slices(batch):
                 raw = [x + end for x in encoder.encode([(t or b"").decode() for t in texts])]
                 ids = [np.frombuffer(x, dtype=encoder.dtype) for x in raw]
                 keys = np.concatenate([document_keys(ids[a : a + 512], matrix) for a in range(0, len(ids), 512)])

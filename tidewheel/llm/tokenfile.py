@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, slices
-from .encoding import ChunkEncoder, crc32_ids
+from .encoding import crc32_ids
+from .encoding import encoder as encoder_of
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -147,7 +148,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     dealt = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(count or partitions(spark), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, spaced)
+        encoder = encoder_of(tokenizer, spaced)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=np.uint32)
         first = segment = held = 0
