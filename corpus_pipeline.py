@@ -1,8 +1,72 @@
-"""Corpus pipeline."""
+"""A corpus pipeline: toxicity, near duplicates, repeated passages, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs being what the stage before has written, and
+returns a DataFrame. All but the last return the columns of documents, so that a stage can
+stand in for another; the last returns the pieces of the packed sequences.
+
+The stages decide: rejected documents go (toxicity 0.5 or more; all but one document of each
+near-duplicate group, on 5-word shingles at a similarity of 0.8; contaminated ones), and
+passages of 50 words or more that an earlier document has are cut from the later ones.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewheel.llm import decontamination, neardup, packing, passages, toxicity
+from tidewheel.llm.common import shared_path, table, tune
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, fitted on the labelled ones among ``docs``, does not predict to be toxic."""
+    machine = toxicity.fit(docs, table(tune(spark), sf_dir, "labels"))
+    return toxicity.score(docs, machine, carry=docs.columns).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group."""
+    tune(spark)
+    return neardup.deduplicated(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of an earlier one; n_chars follows."""
+    tune(spark)
+    return passages.cut(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which fewer than one word in twenty lies in a passage of the benchmark."""
+    found = decontamination.contamination(docs, table(tune(spark), sf_dir, "benchmark"), carry=docs.columns)
+    return found.where("not contaminated").select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids."""
+    tune(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can't express the fitted model, the sorted suffixes or the encoding; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

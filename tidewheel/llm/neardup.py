@@ -221,3 +221,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")).union(same)
     found = components(joined).select(F.col("node").alias("doc_id"), F.col("component").alias("_component"))
     return rows_.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(documents: DataFrame, shingle: int = 5, words: str = "space") -> DataFrame:
+    """The documents (all their columns) that are kept; rows that repeat a doc_id and text are one."""
+    found = near_duplicates(documents, shingle, words).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    left = documents.join(found, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")

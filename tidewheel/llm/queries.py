@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, neardup, neighbours, packing, passages, sharding, tokenfile, toxicity
+from . import decontamination, licenses, neardup, neighbours, packing, passages, quality, sharding, tokenfile, toxicity
 from .common import shared_path, table, tune
 
 
@@ -54,6 +54,12 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.first").alias("first_word"), F.col("s.last").alias("end_word"), F.col("s.sources").alias("source_doc_ids"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(tune(spark), sf_dir, "documents")
+    scored = quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(tune(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_license_scan": op7_license_scan,
     "op8_repeated_passages": op8_repeated_passages,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
