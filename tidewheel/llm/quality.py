@@ -200,8 +200,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", limit:
                 yield pa.RecordBatch.from_arrays([pa.array(list(pooled([places.of(t) for t in texts], shared.value)), pa.list_(pa.float64())), part.column(1)], names=["x", "y"])
 
     got = labelled_texts(documents, labels, label, limit).mapInArrow(run, "x array<double>, y int").toArrow()
-    x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, 2 * WIDTH + EXTRA)
-    y = np.asarray(got.column("y").combine_chunks(), dtype=np.float64) if got.num_rows else np.empty(0)
+    x = np.concatenate([np.empty(0), *(np.asarray(c.flatten()) for c in got.column("x").chunks)]).reshape(-1, 2 * WIDTH + EXTRA)
+    y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     order = np.lexsort([*x.T[:3], y])
     mixed = np.random.default_rng(17).permutation(len(order))
     return trained(x[order][mixed], y[order][mixed], vectors)

@@ -62,10 +62,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(index, counts), -30, 30)))
 
 
-def telling(index: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+def parts(counts: np.ndarray, size: int = 500) -> Iterator[tuple[slice, slice]]:
+    """Ranges of texts and of their terms."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for a in range(0, len(counts), size):
+        b = min(a + size, len(counts))
+        yield slice(a, b), slice(int(ends[a]), int(ends[b]))
+
+
+def telling(index: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether each term's texts are toxic clearly more or less often than texts are at all."""
     size = 1 << BITS
-    n, hits = np.bincount(index, minlength=size), np.bincount(index, weights=y[rows], minlength=size)
+    n, hits = np.zeros(size), np.zeros(size)
+    for texts, at in parts(counts):
+        n += np.bincount(index[at], minlength=size)
+        hits += np.bincount(index[at], weights=np.repeat(y[texts], counts[texts]), minlength=size)
     rate = y.mean() if len(y) else 0.5
     off = np.abs(hits - rate * n) / np.sqrt(np.maximum(rate * (1 - rate) * n, 1e-9))
     return (n >= LEAST) & (off > STANDARD_ERRORS)
@@ -75,9 +86,10 @@ def fitted(index: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 5)
     """Adagrad on the logistic loss, over the telling terms; all others keep weight 0, so that chance words of a long text say nothing."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    rows = np.repeat(np.arange(len(counts)), counts)
-    known = telling(index, rows, y)[index]
-    index, rows = index[known], rows[known]
+    known = telling(index, counts, y)
+    kept = [(index[at][own := known[index[at]]], np.repeat(np.arange(texts.start, texts.stop), counts[texts])[own]) for texts, at in parts(counts)]
+    index = np.concatenate([k[0] for k in kept]) if kept else index
+    rows = np.concatenate([k[1] for k in kept]) if kept else index
     counts = np.bincount(rows, minlength=len(counts))
     starts = np.concatenate([[0], np.cumsum(counts)])
     used, own = np.unique(index, return_inverse=True)
@@ -125,12 +137,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", limit: in
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in np.split(index, cuts)] if len(counts) else [], pa.binary()), part.column(1)], names=["words", "y"])
 
     got = labelled_texts(documents, labels, label, limit).mapInArrow(run, "words binary, y int").toArrow()
-    sets = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in got.column("words").to_pylist()]
     # in a fixed order, and copies once, else the terms of a text with many copies look telling
-    kept = {(x.tobytes(), y): (x, y) for x, y in zip(sets, got.column("y").to_pylist(), strict=True)}
-    pairs = [kept[k] for k in sorted(kept)]
-    index = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.int64)
-    return fitted(index, np.array([len(p[0]) for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.float64))
+    pairs = sorted({(x, y) for b in got.to_batches() for x, y in zip(b.column("words").to_pylist(), b.column("y").to_pylist(), strict=True)})
+    del got
+    index = np.frombuffer(b"".join(x for x, _ in pairs), dtype="<u4").view(np.int32)
+    return fitted(index, np.array([len(x) // 4 for x, _ in pairs], dtype=np.int64), np.array([y for _, y in pairs], dtype=np.float64))
 
 
 def score(documents: DataFrame, machine: Machine, carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
