@@ -75,8 +75,8 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int, spaced: bool) ->
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         matrix = projection()
         for batch in batches:
-            for part, texts in slices(batch):
-                raw = [x + end for x in encoder.encode([(t or b"").decode() for t in texts])]
+            for part, texts in slices(batch, limit=3 << 19):
+                raw = [x.tobytes() + end for x in encoder.encode([(t or b"").decode() for t in texts])]
                 ids = [np.frombuffer(x, dtype=encoder.dtype) for x in raw]
                 keys = np.concatenate([document_keys(ids[a : a + 512], matrix) for a in range(0, len(ids), 512)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([encoder.dtype.itemsize] * len(ids), pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "key", "n", "width", "ids"])

@@ -34,8 +34,14 @@ MAGIC = b"TWPF"
 HEAD = struct.Struct("<4sIQI")
 
 
+#: Bit lengths of 16-bit numbers.
+BITS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
+
+
 def bit_lengths(x: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
+    if not x.size or x.max() < 1 << 16:
+        return BITS[x]
+    return np.where(x < 1 << 16, BITS[x & 0xFFFF], BITS[x >> 16] + np.uint8(16))
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percentile: float = PERCENTILE) -> bytes:
@@ -58,9 +64,9 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percent
         if not w:
             continue
         which = np.flatnonzero(width == w)
-        shifts = np.arange(w, dtype=np.uint32)
-        flags = ((gaps[which][:, :, None] >> shifts) & np.uint32(1)).astype(np.uint8)
-        packed[starts[which][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(flags.reshape(len(which), -1), axis=1, bitorder="little")
+        kind = np.dtype("<u2" if w <= 16 else "<u4")
+        flags = np.unpackbits(gaps[which].astype(kind).view(np.uint8).reshape(len(which), BLOCK, kind.itemsize), axis=2, bitorder="little")
+        packed[starts[which][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(flags[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
     places = np.nonzero(over)
     high = (gaps[places] >> width[places[0]].astype(np.uint32)).astype("<u4")
     exceptions = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])[:-1]
@@ -165,9 +171,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             return row
 
         for batch in batches:
-            for rows_, texts in slices(batch):
+            for rows_, texts in slices(batch, limit=3 << 19):
                 for doc, raw in zip(rows_.column(0).to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
-                    own = np.concatenate([np.frombuffer(raw, dtype=encoder.dtype).astype(np.uint32), end])
+                    own = np.concatenate([raw.astype(np.uint32), end])
                     if held and held + len(own) > segment_ids:
                         yield flush()
                     docs.append(doc)
