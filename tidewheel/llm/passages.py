@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, alnum_words, checkpointed, mix, partitions, slices
 from .decontamination import WORD, merged
 
-LENGTH, GRAM, RUN, SHARE = 50, 6, 24, 50_000
+LENGTH, GRAM, RUN, SHARE = 50, 6, 24, 20_000
 CHUNK_ROWS = 20_000
 
 
@@ -83,7 +83,7 @@ def digests(documents: DataFrame, pick: Selection) -> DataFrame:
             for part, texts in slices(batch):
                 words = [hashes.of(alnum_words(t or b"")) for t in texts]
                 prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), dtype=np.int64) for w in words]).reshape(-1, 2)
-                heads = [np.unique(pick.places(w)[1]).view(np.int64) for w in words]
+                heads = [pick.places(w)[1].view(np.int64) for w in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "heads"])
 
     return documents.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, heads array<bigint>")
@@ -228,7 +228,7 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = checkpointed(rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct())
     heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.explode("heads").alias("head"))
     shared = heads.groupBy("head").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", F.ceil(F.col("c") / SHARE).cast("int").alias("keys"), "low")
-    wanted = heads.join(shared, "head").groupBy("doc_id").agg(F.collect_list(F.struct("head", "keys", (F.col("doc_id") == F.col("low")).alias("first"))).alias("wanted"))
+    wanted = heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("head", "keys", (F.col("doc_id") == F.col("low")).alias("first"))).alias("wanted"))
     kept = suffixes(base.join(wanted, "doc_id").select("doc_id", "text", "wanted"), pick)
     dealt = kept.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
 
