@@ -75,7 +75,7 @@ class Selection:
 
 
 def digests(documents: DataFrame, pick: Selection) -> DataFrame:
-    """doc_id, n_words, 128-bit hash of the word sequence, hashes of the kept suffixes' first words."""
+    """doc_id, n_words, 128-bit hash of the word sequence, hashes of the kept suffixes' first words and how often each is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -83,10 +83,12 @@ def digests(documents: DataFrame, pick: Selection) -> DataFrame:
             for part, texts in slices(batch):
                 words = [hashes.of(alnum_words(t or b"")) for t in texts]
                 prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), dtype=np.int64) for w in words]).reshape(-1, 2)
-                heads = [pick.places(w)[1].view(np.int64) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "heads"])
+                heads = [np.unique(pick.places(w)[1].view(np.int64), return_counts=True) for w in words]
+                ends = np.cumsum([0, *(len(h) for h, _ in heads)])
+                counted = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in heads])), pa.array(np.concatenate([n for _, n in heads]).astype(np.int32))], ["head", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted)], names=["doc_id", "n", "h1", "h2", "heads"])
 
-    return documents.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, heads array<bigint>")
+    return documents.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, heads array<struct<head:bigint,times:int>>")
 
 
 def suffixes(texts: DataFrame, pick: Selection) -> DataFrame:
@@ -226,8 +228,8 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = checkpointed(digests(base, pick).where(F.col("n") >= length))
     classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     copies = checkpointed(rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct())
-    heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.explode("heads").alias("head"))
-    shared = heads.groupBy("head").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", F.ceil(F.col("c") / SHARE).cast("int").alias("keys"), "low")
+    heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.inline("heads"))
+    shared = heads.groupBy("head").agg(F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", F.ceil(F.col("c") / SHARE).cast("int").alias("keys"), "low")
     wanted = heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("head", "keys", (F.col("doc_id") == F.col("low")).alias("first"))).alias("wanted"))
     kept = suffixes(base.join(wanted, "doc_id").select("doc_id", "text", "wanted"), pick)
     dealt = kept.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
