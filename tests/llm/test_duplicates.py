@@ -76,6 +76,23 @@ def test_a_large_family_in_small_blocks(spark, docs, monkeypatch):
     assert got == near(rows, 2)
 
 
+def test_pairs_meet_in_buckets_of_unrelated_leaders(docs, monkeypatch):
+    """One band of one row: texts that share stock phrases (under 30 %) lead the buckets of most pairs."""
+    monkeypatch.setattr(neardup, "F_BLOCK", 4)
+    monkeypatch.setattr(neardup, "X_BLOCK", 4)
+    stock = [f"s{i}" for i in range(25)]
+    lone = [[*stock, *(f"u{k}w{i}" for i in range(40))] for k in range(60)]
+    pairs = [[*stock, *(f"p{k}w{i}" for i in range(40))] for k in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*lone, *pairs, *([*w[:-2], "x", "y"] for w in pairs)])]
+    hashes = neardup.WordHashes()
+    sets = [neardup.shingle_hashes(hashes.of(space_words(t.encode())), 2) for _, t in rows]
+    bucket = neardup.band_hashes(neardup.super_minhash(sets, 1), 1, 1)[:, 0].tolist()
+    meet = [(i, i + 30) for i in range(60, 90) if bucket[i] == bucket[i + 30]]
+    assert sum(bucket.index(bucket[a]) < 60 for a, _ in meet) > 5
+    want = joined([(i, i) for i, _ in rows] + meet)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(rows), 2, bands=1, rows=1).collect()} == want
+
+
 def test_no_documents(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
     assert neardup.deduplicated(docs([])).count() == 0

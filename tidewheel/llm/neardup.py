@@ -5,10 +5,14 @@
 2. Signatures are cut into bands; classes that share a band value meet in a bucket. In each
    bucket the smallest class is compared with all others on the full sets (a star: as many
    comparisons as members, not their square).
-3. Classes joined by a star edge of at least 30 % similarity are a family. Where a family is
+3. Members of less than 30 % similarity with their bucket's leader are compared, block by
+   block on the full sets, with all members of less than 50 %. By the triangle inequality
+   (for 1 - similarity) they can have no link of 80 % with any other member.
+4. Classes joined by an edge of at least 30 % similarity are a family. Where a family is
    still more than one component, its members outside the largest component are compared
    with the whole family, block by block on the full sets, so no link inside it is missed.
-4. Components are the union of all links.
+5. Components are the union of all links. So any two classes that share a bucket are linked
+   if they are 80 % alike, whatever else is in the bucket.
 
 A pair at exactly the threshold of 0.8 shares one of the 50 bands of 6 with probability
 1 - (1 - 0.8^6)^50 > 0.9999997; more alike pairs are surer still.
@@ -28,6 +32,8 @@ from .common import WordHashes, alnum_words, checkpointed, groups, mix, partitio
 from .graph import components
 
 BANDS, ROWS, PERCENT, FAMILY_PERCENT = 50, 6, 80, 30
+#: A member this like its leader has no link with one below FAMILY_PERCENT.
+NEAR_PERCENT = FAMILY_PERCENT + 100 - PERCENT
 X_BLOCK, F_BLOCK, F_SHINGLES = 256, 512, 400_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Levels for which swaps are traced back; beyond them each element's permutation is held.
@@ -120,22 +126,34 @@ def shingle_sets(documents: DataFrame, shingle: int, words: str) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def join(root: dict[int, int], a: int, b: int) -> bool:
+    """Joins the sets of a and b; False if they are one already."""
+    ends = []
+    for x in (a, b):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        ends.append(x)
+    root[ends[0]] = ends[1]
+    return ends[0] != ends[1]
+
+
 def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bool) -> DataFrame:
-    """Compares the x rows of each block with its other rows on the full sets: a, b, linked.
+    """Compares the x rows of each block with its other rows on the full sets: a, b, linked, near.
 
     blocks: block, x (boolean), doc_id, label. Rows with one label are not compared. With
-    ``one_per_label`` an x gets one row for each label it reaches, which is enough to join
-    components.
+    ``one_per_label`` a block gives no pair of labels that its other pairs join already, which
+    is enough for components.
     """
     rows = blocks.join(sets, "doc_id").repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", F.col("x").desc()).select("block", "x", "doc_id", "label", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple[int, int, bool]] = []
+        pairs: list[tuple[int, int, bool, bool]] = []
 
         def flush() -> pa.RecordBatch:
-            a, b, linked = zip(*pairs, strict=True)
+            a, b, linked, near = zip(*pairs, strict=True)
             pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_())], names=["a", "b", "linked", "near"])
 
         for block in groups(batches, "block"):
             is_x = np.asarray(block.column("x").combine_chunks())
@@ -148,6 +166,7 @@ def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bo
             sizes = np.array([len(sets_[i]) for i in others])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             other_ids, other_labels = ids[others], labels[others]
+            root: dict[int, int] = {}
             for i in np.flatnonzero(is_x):
                 own = sets_[i]
                 if not len(own):
@@ -155,18 +174,16 @@ def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bo
                 inside = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
                 both = np.add.reduceat(inside.astype(np.int64), starts)
                 union = len(own) + sizes - both
-                seen: set[int] = set()
                 for k in np.flatnonzero((100 * both >= percent * union) & (other_labels != labels[i]) & (other_ids != ids[i])):
-                    if one_per_label and int(other_labels[k]) in seen:
+                    if one_per_label and not join(root, int(labels[i]), int(other_labels[k])):
                         continue
-                    seen.add(int(other_labels[k]))
-                    pairs.append((int(ids[i]), int(other_ids[k]), bool(100 * both[k] >= PERCENT * union[k])))
+                    pairs.append((int(ids[i]), int(other_ids[k]), bool(100 * both[k] >= PERCENT * union[k]), bool(100 * both[k] >= NEAR_PERCENT * union[k])))
             if len(pairs) > 20_000:
                 yield flush()
         if pairs:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+    return rows.mapInArrow(run, "a long, b long, linked boolean, near boolean")
 
 
 def blocks_of_stars(stars: DataFrame) -> DataFrame:
@@ -182,11 +199,25 @@ def blocks_of_families(nodes: DataFrame) -> DataFrame:
     counts = nodes.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     plan = counts.groupBy("family").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.sum("s").alias("size")).where("most < all")
     plan = plan.select("family", "main", F.ceil((F.col("all") - F.col("most")) / X_BLOCK).alias("nx"), F.greatest(F.ceil(F.col("all") / F_BLOCK), F.ceil(F.col("size") / F_SHINGLES)).alias("nf"))
-    rows = nodes.join(plan, "family")
+    rows = nodes.join(plan, "family").select(F.col("family").alias("set"), "doc_id", "label", (F.col("label") != F.col("main")).alias("x"), "nx", "nf")
+    return crossed(rows)
+
+
+def blocks_of_leftovers(left: DataFrame) -> DataFrame:
+    """left: key, doc_id, label, n, x. What is unlike a bucket's leader (x), against all that is not near it; buckets of the same rows count once."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("doc_id", "x", F.lit(seed)))
+    plan = left.groupBy("key").agg(F.count("*").alias("all"), F.sum(F.col("x").cast("long")).alias("xs"), F.sum("n").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")).where("xs > 0 and all > 1")
+    plan = plan.groupBy("m1", "m2", "all", "xs", "size").agg(F.min("key").alias("key"))
+    plan = plan.select("key", F.ceil(F.col("xs") / X_BLOCK).alias("nx"), F.greatest(F.ceil(F.col("all") / F_BLOCK), F.ceil(F.col("size") / F_SHINGLES)).alias("nf"))
+    return crossed(left.join(plan, "key").select(F.col("key").alias("set"), "doc_id", "label", "x", "nx", "nf"))
+
+
+def crossed(rows: DataFrame) -> DataFrame:
+    """rows: set, doc_id, label, x, nx, nf. The x rows of a set in nx parts, each with every one of nf parts of all its rows."""
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    xs = rows.where("label <> main").withColumn("xb", F.pmod(F.xxhash64("doc_id", F.lit(1)), "nx")).withColumn("fb", span("nf")).withColumn("x", F.lit(True))
+    xs = rows.where("x").withColumn("xb", F.pmod(F.xxhash64("doc_id", F.lit(1)), "nx")).withColumn("fb", span("nf")).withColumn("x", F.lit(True))
     fs = rows.withColumn("fb", F.pmod(F.xxhash64("doc_id", F.lit(2)), "nf")).withColumn("xb", span("nx")).withColumn("x", F.lit(False))
-    pick = [F.xxhash64("family", "xb", "fb").alias("block"), "x", "doc_id", "label"]
+    pick = [F.xxhash64("set", "xb", "fb").alias("block"), "x", "doc_id", "label"]
     return xs.select(*pick).union(fs.select(*pick))
 
 
@@ -208,14 +239,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     reps = full.join(lone, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
     buckets = checkpointed(reps.select("rep", F.explode("bands").alias("key")))
     led = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    stars = checkpointed(buckets.join(led, "key").where("rep <> leader").select("leader", "rep").distinct())
+    met = checkpointed(buckets.join(led, "key").where("rep <> leader").select("key", "leader", "rep"))
+    stars = checkpointed(met.select("leader", "rep").distinct())
     wanted = stars.select(F.col("leader").alias("doc_id")).union(stars.select("rep")).distinct()
     sets = checkpointed(shingle_sets(base.join(wanted, "doc_id", "left_semi"), shingle, words))
+    sizes = sets.select("doc_id", F.expr("octet_length(shingles) div 8").alias("n"))
     edges = checkpointed(verified(blocks_of_stars(stars), sets, FAMILY_PERCENT, False))
+    starred = edges.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
+    apart = met.join(edges.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near"), ["leader", "rep"], "left").where("near is null or not near").select("key", F.col("rep").alias("doc_id"), F.col("near").isNull().alias("x"))
+    # links among members of one leader are found with the families below
+    left = apart.join(starred, "doc_id", "left").join(sizes, "doc_id").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "x")
+    edges = checkpointed(edges.union(verified(blocks_of_leftovers(checkpointed(left)), sets, PERCENT, True)))
     links = edges.where("linked").select("a", "b")
     labels = components(links)
     families = components(edges.select("a", "b"))
-    nodes = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").join(sets.select("doc_id", F.expr("octet_length(shingles) div 8").alias("n")), "doc_id").select("doc_id", "family", F.coalesce("label", "doc_id").alias("label"), "n")
+    nodes = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").join(sizes, "doc_id").select("doc_id", "family", F.coalesce("label", "doc_id").alias("label"), "n")
     more = checkpointed(verified(blocks_of_families(nodes), sets, PERCENT, True))
     same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")).union(same)
