@@ -180,6 +180,17 @@ def test_very_common_passages_are_dealt_out(docs, monkeypatch):
     assert sum(map(len, got.values())) > 0.9 * sum(map(len, want.values()))
 
 
+def test_very_common_heads_lose_nothing(docs, monkeypatch):
+    """What documents share beside boilerplate that all have, and the first one lacks."""
+    monkeypatch.setattr(passages, "SHARE", 5)
+    plate = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"x{i} y{i} l{i % 20}a l{i % 20}b {plate} " + " ".join(f"r{i % 20}n{k}" for k in range(30)) + f" z{i}") for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(spread(random.Random(6)))]
+    found = passages.repeated(docs(rows))
+    assert spans_of(found) == earlier(rows, 50)
+    assert all(x < r.doc_id for r in found.collect() for s in r.spans for x in s["sources"])
+
+
 def test_cut_leaves_one_of_each_and_clean_texts_alone(docs, spark):
     passage = " ".join(f"P{i}," for i in range(60))
     rows = [(1, f"Start here. {passage} End."), (2, f"Other — {passage} tail. "), (3, passage), (4, "clean,  text. "), (5, None)]

@@ -14,10 +14,10 @@ at least 27 of its words from there on, so equal passages keep suffixes at equal
 3. What repeats in a document is the union of its matches.
 
 Equal texts are matched as wholes, so copies add no suffixes. A set of more than ``SHARE``
-suffixes with equal first words is dealt out over several keys, each with the suffixes of
-the first document among them, so that no task holds all of a very common passage. Such a
-passage is still found whole in every document; what two documents of different keys share
-right beside it and the first one lacks may be missed, up to 49 words.
+suffixes with equal first words is not sorted, so that no task holds all of a very common
+passage: every run of 50 words that such a suffix can stand for is hashed whole, and the
+hashes are grouped with their smallest doc_id (partly before the shuffle). A run is repeated
+where that is smaller than the document's own. So all passages are found at any size.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def digests(documents: DataFrame, pick: Selection) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, pick: Selection) -> DataFrame:
-    """texts: doc_id, text, wanted (heads with the number of keys and whether this document had them first)."""
+    """texts: doc_id, text, wanted (heads)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -103,17 +103,13 @@ def suffixes(texts: DataFrame, pick: Selection) -> DataFrame:
                 for doc, text, wanted in zip(part.column(0).to_pylist(), raw, part.column(2).to_pylist(), strict=True):
                     words = hashes.of(alnum_words(text or b""))
                     kept, heads = pick.places(words)
-                    need = {w["head"]: (w["keys"], w["first"]) for w in wanted}
+                    need = set(wanted)
                     short = (words >> np.uint64(32)).astype(">u4")
                     for at, head in zip(kept.tolist(), heads.view(np.int64).tolist(), strict=True):
                         if head not in need:
                             continue
-                        keys, first = need[head]
-                        own = range(keys) if first else [xxhash.xxh3_64_intdigest(f"{doc}-{at}") % keys]
                         suffix, before = short[at : at + pick.length], short[max(0, at - pick.left) : at][::-1]
-                        for k in own:
-                            key = head if keys == 1 else int(np.array([xxhash.xxh3_64_intdigest(f"{head}-{k}")], np.uint64).view(np.int64)[0])
-                            rows.append((key, doc, at, len(before), len(suffix), suffix.tobytes(), before.tobytes()))
+                        rows.append((head, doc, at, len(before), len(suffix), suffix.tobytes(), before.tobytes()))
                 if rows:
                     c = list(zip(*rows, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -122,6 +118,41 @@ def suffixes(texts: DataFrame, pick: Selection) -> DataFrame:
     return texts.mapInArrow(run, "key long, doc_id long, at int, n_left int, n_right int, suffix binary, before binary")
 
 
+def runs(documents: DataFrame, pick: Selection, heads: list[int]) -> DataFrame:
+    """doc_id, n_words as n, at, and a 128-bit hash of each run of ``length`` words that a kept suffix with one of ``heads`` stands for."""
+    wanted = np.array(heads, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        factors = [mix(np.arange(1, pick.length + 1, dtype=np.uint64), seed) | np.uint64(1) for seed in (6, 7)]
+        for batch in batches:
+            for part, raw in slices(batch, limit=1 << 20):
+                for doc, text in zip(part.column(0).to_pylist(), raw, strict=True):
+                    words = hashes.of(alnum_words(text or b""))
+                    kept, own = pick.places(words)
+                    kept = kept[np.isin(own.view(np.int64), wanted)]
+                    starts = np.unique(kept[:, None] - np.arange(pick.left + 1))
+                    starts = starts[(starts >= 0) & (starts + pick.length <= len(words))]
+                    for a in range(0, len(starts), CHUNK_ROWS):
+                        at = starts[a : a + CHUNK_ROWS]
+                        window = words[at[:, None] + np.arange(pick.length)]
+                        h1, h2 = (mix((window * f).sum(axis=1, dtype=np.uint64), 9).view(np.int64) for f in factors)
+                        same_ = lambda value, kind: pa.array([value] * len(at), kind)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([same_(doc, pa.int64()), same_(len(words), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "at", "h1", "h2"])
+
+    return documents.mapInArrow(run, "doc_id long, n int, at int, h1 long, h2 long")
+
+
+def common_spans(documents: DataFrame, pick: Selection, heads: list[int], copies: DataFrame) -> DataFrame:
+    """Spans of the runs under very common heads that a document with a smaller id has: doc_id, first, last, source."""
+    every = checkpointed(runs(documents, pick, heads).join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").drop("n"))
+    low = checkpointed(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("source < high").drop("high"))
+    often = F.broadcast(low.where(F.col("c") > SHARE).select("h1", "h2", "source"))  # at most one for SHARE runs
+    found = every.join(often, ["h1", "h2"])
+    rest = every.join(often, ["h1", "h2"], "left_anti").join(low.where(F.col("c") <= SHARE).select("h1", "h2", "source"), ["h1", "h2"])
+    return found.union(rest).where("source < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + pick.length).cast("int").alias("last"), "source")
+
+
 def padded(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in column.to_pylist()), dtype=">u4").reshape(-1, width).astype(np.uint32)
 
@@ -229,8 +260,9 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     copies = checkpointed(rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct())
     heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.inline("heads"))
-    shared = heads.groupBy("head").agg(F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", F.ceil(F.col("c") / SHARE).cast("int").alias("keys"), "low")
-    wanted = heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("head", "keys", (F.col("doc_id") == F.col("low")).alias("first"))).alias("wanted"))
+    shared = checkpointed(heads.groupBy("head").agg(F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", "c"))
+    common = [r["head"] for r in shared.where(F.col("c") > SHARE).select("head").collect()]  # at most one for SHARE suffixes
+    wanted = heads.join(shared.where(F.col("c") <= SHARE), "head").groupBy("doc_id").agg(F.collect_set("head").alias("wanted"))
     kept = suffixes(base.join(wanted, "doc_id").select("doc_id", "text", "wanted"), pick)
     dealt = kept.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
 
@@ -256,6 +288,8 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     spans = dealt.mapInArrow(run, "doc_id long, first int, last int, source long")
     whole = copies.select("doc_id", F.lit(0).alias("first"), F.col("n").alias("last"), F.col("rep").alias("source"))
+    if common:
+        spans = spans.union(common_spans(base, pick, common, copies))
     every = spans.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "source")).alias("spans"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
