@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,16 +86,6 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         at += n
 
 
-def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    """``keep`` columns of the batch and the new ones, in the order and with the types of ``schema``."""
-    named = {k: batch.column(batch.schema.get_field_index(k)) for k in keep} | new
-    return pa.RecordBatch.from_arrays([named[f.name].cast(f.type) if named[f.name].type != f.type else named[f.name] for f in schema], schema=schema)
-
-
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough for very long texts. These settings change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -105,9 +94,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own on a single machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -119,6 +110,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared storage, whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -155,9 +152,3 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = keys[a]
     if held:
         yield pa.Table.from_batches(held)
-
-
-def chunked(items, n: int) -> Iterator[list]:
-    it = iter(items)
-    while part := list(islice(it, n)):
-        yield part
