@@ -2,22 +2,23 @@
 
 Suffixes are kept only at content-selected places: where the hash of 6 words is the least in
 some run of 24 such hashes. Any passage of 50 words has such a place among its first 24, with
-at least 27 of its words from there on, so equal passages keep suffixes at equal places.
+at least 27 of its words from there on, so equal passages keep suffixes at equal places, and
+a suffix stands for the passages that begin up to 23 words before it.
 
 1. The first 27 words of every kept suffix are hashed. Suffixes whose hash is in one
    document only can be in no repeated passage and are dropped.
-2. For the rest, the next 50 words and the 23 before are taken, and the suffixes sorted by
-   content. Each is compared with its neighbours in that order, skipping those of later
-   documents, and with the document that had its first words first; matches are extended to
-   the right and to the left (at last among all suffixes with equal first words, as another
-   than a neighbour may agree in more words before), and count from 50 words on.
-3. What repeats in a document is the union of its matches.
+2. For the rest, the words of their passages from there on and before are taken, and the
+   suffixes sorted by content. Neighbours are compared: suffixes between which all neighbours have r words in
+   common have these in common. Those that also agree in the 50 - r words before hold the same
+   passage of 50 words; the smallest doc_id among them is its source for all others.
+3. What repeats in a document is the union of such passages.
 
 Equal texts are matched as wholes, so copies add no suffixes. A set of more than ``SHARE``
 suffixes with equal first words is not sorted, so that no task holds all of a very common
 passage: every run of 50 words that such a suffix can stand for is hashed whole, and the
-hashes are grouped with their smallest doc_id (partly before the shuffle). A run is repeated
-where that is smaller than the document's own. So all passages are found at any size.
+hashes are grouped with their smallest doc_id (partly before the shuffle). The ``TOP`` most
+frequent of these hashes, a bounded number, are looked up in memory, the others by a join. All
+ways find the same passages.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, alnum_words, checkpointed, mix, partitions, slices
 from .decontamination import WORD, merged
 
-LENGTH, GRAM, RUN, SHARE = 50, 6, 24, 20_000
+LENGTH, GRAM, RUN, SHARE, TOP = 50, 6, 24, 20_000, 100_000
 CHUNK_ROWS = 20_000
 
 
@@ -56,22 +57,30 @@ class Selection:
         rest = self.run - size
         return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
-    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Kept places with ``head`` words from there on, and the hashes of those words."""
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kept places, the hashes of the ``head`` words from there on, and the least and most words before.
+
+        A passage of ``length`` words belongs to the least hash of its own first run, so all
+        its occurrences keep a suffix at that place, whatever stands around them. Least and
+        most say which passages belong to a place: those that begin so many words before it.
+        """
         n = len(words)
         if n < self.length:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         m = n - self.gram + 1
         with np.errstate(over="ignore"):
             grams = words[:m].copy()
             for i in range(1, self.gram):
                 grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m], i)
-            least = self.extreme(grams, np.minimum)
+            first = self.extreme(grams, np.minimum)[: n - self.length + 1]  # of the run that each passage begins with
             pad = np.zeros(self.run - 1, np.uint64)
-            kept = np.flatnonzero(self.extreme(np.concatenate([pad, least, pad]), np.maximum) == grams)
-            kept = kept[kept + self.head <= n]
+            kept = np.flatnonzero(self.extreme(np.concatenate([pad, first, pad]), np.maximum)[: len(first) + self.run - 1] == grams[: len(first) + self.run - 1])
+            begin = kept[:, None] - np.arange(self.run)
+            inside = (begin >= 0) & (begin < len(first))
+            own = inside & (first[np.where(inside, begin, 0)] == grams[kept, None])
+            kept, own = kept[some := own.any(axis=1)], own[some]
             heads = mix((words[kept[:, None] + np.arange(self.head)] * self.factors).sum(axis=1, dtype=np.uint64), 9)
-        return kept, heads
+        return kept, heads, own.argmax(axis=1), self.run - 1 - own[:, ::-1].argmax(axis=1)
 
 
 def digests(documents: DataFrame, pick: Selection) -> DataFrame:
@@ -92,65 +101,75 @@ def digests(documents: DataFrame, pick: Selection) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, pick: Selection) -> DataFrame:
-    """texts: doc_id, text, wanted (heads)."""
+    """texts: doc_id, text, wanted, common (heads).
+
+    A row for each kept suffix with a wanted head, and one with ``key`` and ``key2``, a 128-bit
+    hash, and no suffix for each run of ``length`` words that one with a common head stands for.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["key", "key2", "doc_id", "at", "least", "most", "suffix", "before"]
+    factors = [mix(np.arange(1, pick.length + 1, dtype=np.uint64), seed) | np.uint64(1) for seed in (6, 7)]
+
+    def runs(doc: int, words: np.ndarray, kept: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+        offsets = np.arange(pick.run)
+        starts = np.unique((kept[:, None] - offsets)[(offsets >= least[:, None]) & (offsets <= most[:, None])])
+        for a in range(0, len(starts), CHUNK_ROWS):
+            at = starts[a : a + CHUNK_ROWS]
+            window = words[at[:, None] + np.arange(pick.length)]
+            h1, h2 = (mix((window * f).sum(axis=1, dtype=np.uint64), 9).view(np.int64) for f in factors)
+            empty = [pa.nulls(len(at), kind) for kind in kinds[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), *empty], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = ["key", "doc_id", "at", "n_left", "n_right", "suffix", "before"]
         for batch in batches:
             for part, raw in slices(batch, limit=1 << 20):
                 rows: list[tuple] = []
-                for doc, text, wanted in zip(part.column(0).to_pylist(), raw, part.column(2).to_pylist(), strict=True):
+                for doc, text, wanted, common in zip(part.column(0).to_pylist(), raw, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     words = hashes.of(alnum_words(text or b""))
-                    kept, heads = pick.places(words)
-                    need = set(wanted)
+                    kept, heads, least, most = pick.places(words)
+                    heads = heads.view(np.int64)
                     short = (words >> np.uint64(32)).astype(">u4")
-                    for at, head in zip(kept.tolist(), heads.view(np.int64).tolist(), strict=True):
-                        if head not in need:
-                            continue
-                        suffix, before = short[at : at + pick.length], short[max(0, at - pick.left) : at][::-1]
-                        rows.append((head, doc, at, len(before), len(suffix), suffix.tobytes(), before.tobytes()))
+                    own = np.isin(heads, np.array(wanted, dtype=np.int64))
+                    for head, at, low, high in zip(heads[own].tolist(), kept[own].tolist(), least[own].tolist(), most[own].tolist(), strict=True):
+                        rows.append((head, None, doc, at, low, high, short[at : at + pick.length - low].tobytes(), short[at - high : at][::-1].tobytes()))
+                    if common:
+                        own = np.isin(heads, np.array(common, dtype=np.int64))
+                        yield from runs(doc, words, kept[own], least[own], most[own])
                 if rows:
-                    c = list(zip(*rows, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "key long, doc_id long, at int, n_left int, n_right int, suffix binary, before binary")
+    return texts.mapInArrow(run, "key long, key2 long, doc_id long, at int, least int, most int, suffix binary, before binary")
 
 
-def runs(documents: DataFrame, pick: Selection, heads: list[int]) -> DataFrame:
-    """doc_id, n_words as n, at, and a 128-bit hash of each run of ``length`` words that a kept suffix with one of ``heads`` stands for."""
-    wanted = np.array(heads, dtype=np.int64)
+SPAN = "doc_id long, first int, last int, source long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        factors = [mix(np.arange(1, pick.length + 1, dtype=np.uint64), seed) | np.uint64(1) for seed in (6, 7)]
+
+def spans_of_runs(runs: DataFrame, pick: Selection) -> DataFrame:
+    """Spans of the hashed runs that a document with a smaller id has: doc_id, first, last, source."""
+    low = checkpointed(runs.groupBy("key", "key2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("source < high").drop("high"))
+    top = low.orderBy(F.desc("c"), "key", "key2").limit(TOP + 1).toArrow()
+    least = top.column("c")[TOP].as_py() if top.num_rows > TOP else 0
+    top = top.filter(pa.compute.greater(top.column("c"), least)).sort_by("key")
+    known = runs.sparkSession.sparkContext.broadcast(tuple(np.asarray(top.column(k)) for k in ("key", "key2", "source")))  # TOP rows at most
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, key2, source = known.value
         for batch in batches:
-            for part, raw in slices(batch, limit=1 << 20):
-                for doc, text in zip(part.column(0).to_pylist(), raw, strict=True):
-                    words = hashes.of(alnum_words(text or b""))
-                    kept, own = pick.places(words)
-                    kept = kept[np.isin(own.view(np.int64), wanted)]
-                    starts = np.unique(kept[:, None] - np.arange(pick.left + 1))
-                    starts = starts[(starts >= 0) & (starts + pick.length <= len(words))]
-                    for a in range(0, len(starts), CHUNK_ROWS):
-                        at = starts[a : a + CHUNK_ROWS]
-                        window = words[at[:, None] + np.arange(pick.length)]
-                        h1, h2 = (mix((window * f).sum(axis=1, dtype=np.uint64), 9).view(np.int64) for f in factors)
-                        same_ = lambda value, kind: pa.array([value] * len(at), kind)  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([same_(doc, pa.int64()), same_(len(words), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "at", "h1", "h2"])
-
-    return documents.mapInArrow(run, "doc_id long, n int, at int, h1 long, h2 long")
-
-
-def common_spans(documents: DataFrame, pick: Selection, heads: list[int], copies: DataFrame) -> DataFrame:
-    """Spans of the runs under very common heads that a document with a smaller id has: doc_id, first, last, source."""
-    every = checkpointed(runs(documents, pick, heads).join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").drop("n"))
-    low = checkpointed(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("source < high").drop("high"))
-    often = F.broadcast(low.where(F.col("c") > SHARE).select("h1", "h2", "source"))  # at most one for SHARE runs
-    found = every.join(often, ["h1", "h2"])
-    rest = every.join(often, ["h1", "h2"], "left_anti").join(low.where(F.col("c") <= SHARE).select("h1", "h2", "source"), ["h1", "h2"])
-    return found.union(rest).where("source < doc_id").select("doc_id", F.col("at").alias("first"), (F.col("at") + pick.length).cast("int").alias("last"), "source")
+            h1, h2, doc, at = (np.asarray(batch.column(k)) for k in range(4))
+            i = np.minimum(np.searchsorted(key, h1), max(0, len(key) - 1))
+            if not len(key) or not (hit := (key[i] == h1) & (key2[i] == h2) & (source[i] < doc)).any():
+                continue
+            doc, at, low = doc[hit], at[hit], source[i[hit]]
+            cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1]) | (at[1:] - at[:-1] != 1)]))
+            ends = np.append(cuts[1:], len(doc)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(at[cuts]), pa.array((at[ends] + pick.length).astype(np.int32)), pa.array(low[cuts])], names=["doc_id", "first", "last", "source"])
+
+    found = runs.select("key", "key2", "doc_id", "at").mapInArrow(looked_up, SPAN)
+    if not least:
+        return found
+    rest = runs.join(low.where(F.col("c") <= least).select("key", "key2", "source"), ["key", "key2"]).where("source < doc_id")
+    return found.union(rest.select("doc_id", F.col("at").alias("first"), (F.col("at") + pick.length).cast("int").alias("last"), "source"))
 
 
 def padded(column: pa.Array, width: int) -> np.ndarray:
@@ -163,81 +182,45 @@ def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(different.any(axis=1), different.argmax(axis=1), a.shape[1])
 
 
-def nearest_smaller(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each row the nearest one above with the same key and a smaller doc, or -1."""
-    to = np.arange(len(key)) - 1
-    while True:
-        inside = to >= 0
-        inside[inside] &= key[to[inside]] == key[np.flatnonzero(inside)]
-        to[~inside] = -1
-        rows = np.flatnonzero(inside)
-        rows = rows[doc[to[rows]] >= doc[rows]]
-        if not len(rows):
-            return to
-        to[rows] = to[to[rows]]
-
-
 def matches(rows: pa.Table, pick: Selection) -> pa.RecordBatch | None:
-    """Matches of sorted suffixes with earlier documents; complete keys only."""
+    """Spans that earlier documents have, from suffixes sorted by key and content; complete keys only.
+
+    For each number of words before, suffixes that agree in these and in as many words from
+    their place on as make up the length are one group, and its earliest document the source.
+    """
     c = {name: rows.column(name).combine_chunks() for name in rows.schema.names}
-    key, doc, at = (np.asarray(c[k]) for k in ("key", "doc_id", "at"))
-    n_left, n_right = np.asarray(c["n_left"]), np.asarray(c["n_right"])
+    key, doc, at, least, most = (np.asarray(c[k]) for k in ("key", "doc_id", "at", "least", "most"))
     suffix, before = padded(c["suffix"], pick.length), padded(c["before"], max(1, pick.left))
     n = len(key)
-    above = nearest_smaller(key, doc)
-    below = nearest_smaller(key[::-1], doc[::-1])[::-1]
-    below = np.where(below >= 0, n - 1 - below, -1)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    order = np.lexsort((np.arange(n), doc, key))
-    first = np.repeat(order[starts], np.diff(np.append(starts, n)))
-    first = np.where(doc[first] < doc, first, -1)
-    left, right, source, most = np.zeros(n, int), np.zeros(n, int), np.zeros(n, np.int64), np.zeros(n, int)
-    for partner in (above, below, first):
-        i = np.flatnonzero(partner >= 0)
-        j = partner[i]
-        r = np.minimum(same(suffix[i], suffix[j]), np.minimum(n_right[i], n_right[j]))
-        k = np.minimum(same(before[i], before[j]), np.minimum(n_left[i], n_left[j]))
-        good = r + k >= pick.length
-        i, j, r, k = i[good], j[good], r[good], k[good]
-        better = r + k > most[i]
-        source[i[better]], most[i[better]] = doc[j[better]], (r + k)[better]
-        left[i], right[i] = np.maximum(left[i], k), np.maximum(right[i], r)
-    extend_left(key, doc, suffix, before, n_left, n_right, left, right, source, most, pick)
-    i = np.flatnonzero(most)
-    if not len(i):
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array((at[i] - left[i]).astype(np.int32)), pa.array((at[i] + right[i]).astype(np.int32)), pa.array(source[i])], names=["doc_id", "first", "last", "source"])
-
-
-def extend_left(key, doc, suffix, before, n_left, n_right, left, right, source, most, pick: Selection) -> None:
-    """Lengthens matches to the left, where a suffix has more words in common before it with others than with its neighbours.
-
-    For each number of words before, the suffixes that agree in these and in as many words
-    after as make up the length are one group; its earliest document matches the others.
-    """
+    common = np.where(key[1:] == key[:-1], same(suffix[1:], suffix[:-1]), -1)  # words shared by neighbours
+    sources = np.full((n, pick.left + 1), np.iinfo(np.int64).max)
+    agreed = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        grown = np.zeros(len(key), np.uint64)
-        after = []
-        for w in range(pick.length):
-            grown = mix(grown * np.uint64(0x9E3779B97F4A7C15) + suffix[:, w].astype(np.uint64), 1)
-            after.append(grown)
-        so_far = mix(key.view(np.uint64), 2)
         for o in range(pick.left + 1):
             if o:
-                so_far = mix(so_far * np.uint64(0x9E3779B97F4A7C15) + before[:, o - 1].astype(np.uint64), 3)
-            rows = np.flatnonzero((n_left >= o) & (n_right >= pick.length - o))
-            if len(rows) < 2:
+                agreed = mix(agreed * np.uint64(0x9E3779B97F4A7C15) + before[:, o - 1].astype(np.uint64), 3)
+            alike = np.concatenate([[0], np.cumsum(common < pick.length - o)]).astype(np.uint64)
+            members = np.flatnonzero((least <= o) & (o <= most))
+            if len(members) < 2:
                 continue
-            group = mix(so_far[rows] + after[pick.length - o - 1][rows], 4)
-            order = np.lexsort((doc[rows], group))
-            rows, group = rows[order], group[order]
+            group = mix(agreed[members] ^ mix(alike[members], 4), 5)
+            order = np.argsort(group, kind="stable")
+            members, group = members[order], group[order]
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            low = np.repeat(doc[rows[starts]], np.diff(np.append(starts, len(rows))))
-            more = (low < doc[rows]) & ((left[rows] < o) | (most[rows] == 0))
-            i, low = rows[more], low[more]
-            new = most[i] == 0
-            source[i[new]], most[i[new]] = low[new], pick.length
-            left[i], right[i] = np.maximum(left[i], o), np.maximum(right[i], pick.length - o)
+            low = np.repeat(np.minimum.reduceat(doc[members], starts), np.diff(np.append(starts, len(members))))
+            earlier = low < doc[members]
+            sources[members[earlier], o] = low[earlier]
+    flat = sources.ravel()
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    first[:: pick.left + 1] = True
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(flat)) - 1
+    found = flat[begin] != np.iinfo(np.int64).max
+    if not found.any():
+        return None
+    begin, end = begin[found], end[found]
+    row, before_last, before_first = begin // (pick.left + 1), begin % (pick.left + 1), end % (pick.left + 1)
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((at[row] - before_first).astype(np.int32)), pa.array((at[row] - before_last + pick.length).astype(np.int32)), pa.array(flat[begin])], names=["doc_id", "first", "last", "source"])
 
 
 SPANS = "array<struct<first:int,last:int,sources:array<bigint>>>"
@@ -247,9 +230,11 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, spans: the documents with a passage of at least ``length`` words that is in one with a smaller doc_id.
 
     Words are runs of characters other than ASCII punctuation and space, A-Z lower-cased.
-    ``spans`` are word ranges (from 0, end exclusive) with the earlier documents matched. The
-    document with the smallest doc_id keeps its passage, so just one is left of each. Texts
-    that are null or have fewer words have none, and neither do repeats within one document.
+    ``spans`` are word ranges (from 0, end exclusive) with their sources: for each run of
+    ``length`` words in them the smallest doc_id that has it (of a copy of a whole text, the
+    smallest doc_id with that text). The document with the smallest doc_id keeps its passage,
+    so just one is left of each. Texts that are null or have fewer words have none, and neither
+    do repeats within one document.
     Rows that repeat a doc_id and text are one document; rows without a doc_id take no part.
     An empty table gives no row. Columns other than doc_id and text are not read.
     """
@@ -261,9 +246,12 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = checkpointed(rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct())
     heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.inline("heads"))
     shared = checkpointed(heads.groupBy("head").agg(F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", "c"))
-    common = [r["head"] for r in shared.where(F.col("c") > SHARE).select("head").collect()]  # at most one for SHARE suffixes
-    wanted = heads.join(shared.where(F.col("c") <= SHARE), "head").groupBy("doc_id").agg(F.collect_set("head").alias("wanted"))
-    kept = suffixes(base.join(wanted, "doc_id").select("doc_id", "text", "wanted"), pick)
+    listed = lambda which: F.collect_set(F.when(which, F.col("head")))
+    lists = checkpointed(heads.join(shared, "head").groupBy("doc_id").agg(listed(F.col("c") <= SHARE).alias("wanted"), listed(F.col("c") > SHARE).alias("common")))
+    kept = suffixes(base.join(lists, "doc_id").select("doc_id", "text", "wanted", "common"), pick)
+    if very := not lists.where("size(common) > 0").isEmpty():
+        kept = checkpointed(kept)
+    runs, kept = kept.where("suffix is null"), kept.where("suffix is not null").drop("key2")
     dealt = kept.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +274,10 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         if held and (found := matches(pa.Table.from_batches(held), pick)) is not None:
             yield found
 
-    spans = dealt.mapInArrow(run, "doc_id long, first int, last int, source long")
+    spans = dealt.mapInArrow(run, SPAN)
     whole = copies.select("doc_id", F.lit(0).alias("first"), F.col("n").alias("last"), F.col("rep").alias("source"))
-    if common:
-        spans = spans.union(common_spans(base, pick, common, copies))
+    if very:
+        spans = spans.union(spans_of_runs(runs, pick))
     every = spans.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "source")).alias("spans"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,9 +49,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per repeated passage of a document: its words (end exclusive) and the earlier documents that have it."""
+    """One row per repeated passage of a document: its words (end exclusive), and how many sources it has and the smallest of them.
+
+    A source of a passage is the smallest doc_id that has some run of 50 words of it.
+    """
     found = passages.repeated(table(tune(spark), sf_dir, "documents"))
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.first").alias("first_word"), F.col("s.last").alias("end_word"), F.col("s.sources").alias("source_doc_ids"))
+    rows = found.select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.first").cast("long").alias("first_word"), F.col("s.last").cast("long").alias("end_word"), F.size("s.sources").cast("long").alias("n_sources"), F.array_min("s.sources").alias("source_doc_id"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +115,21 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM
 low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)""",
+    "op8_repeated_passages": f"""
+WITH d AS (SELECT DISTINCT doc_id, {WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, w, len(w) AS n, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM d WHERE len(w) >= {passages.LENGTH}),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + {passages.LENGTH}), ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(0, n - {passages.LENGTH - 1})) AS i FROM f WHERE doc_id = rep)),
+low AS (SELECT p, min(doc_id) AS source FROM windows GROUP BY p HAVING min(doc_id) < max(doc_id)),
+spans AS (
+  SELECT doc_id, i AS a, i + {passages.LENGTH} AS b, source FROM windows JOIN low USING (p) WHERE source < doc_id
+  UNION ALL SELECT doc_id, 0, n, rep FROM f WHERE doc_id <> rep),
+begins AS (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM begins)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS first_word, CAST(max(b) AS BIGINT) AS end_word, count(DISTINCT source) AS n_sources, min(source) AS source_doc_id
+FROM islands GROUP BY doc_id, island""",
     "op7_license_scan": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("text")} AS w FROM documents),
 p(words, label) AS (VALUES {", ".join(f"({p.split(' ')}, '{label}')" for p, label in licenses.PHRASES.items())}),
