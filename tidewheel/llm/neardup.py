@@ -8,9 +8,9 @@
 3. Members of less than 30 % similarity with their bucket's leader are compared, block by
    block on the full sets, with all members of less than 50 %. By the triangle inequality
    (for 1 - similarity) they can have no link of 80 % with any other member.
-4. Classes joined by an edge of at least 30 % similarity are a family. Where a family is
-   still more than one component, its members outside the largest component are compared
-   with the whole family, block by block on the full sets, so no link inside it is missed.
+4. Components of the links found so far that an edge of at least 30 % similarity joins are a
+   family. Members outside a family's largest component are compared with the whole family,
+   block by block on the full sets, so no link inside it is missed.
 5. Components are the union of all links. So any two classes that share a bucket are linked
    if they are 80 % alike, whatever else is in the bucket.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, alnum_words, checkpointed, groups, mix, partitions, shingle_hashes, slices, space_words
-from .graph import components
+from .graph import components, relabelled
 
 BANDS, ROWS, PERCENT, FAMILY_PERCENT = 50, 6, 80, 30
 #: A member this like its leader has no link with one below FAMILY_PERCENT.
@@ -233,11 +233,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows_ = checkpointed(signed(base, shingle, words, bands, rows))
     full = rows_.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = full.select("doc_id", "fp1", "fp2").join(classes.where("copies > 1"), ["fp1", "fp2"]).select("doc_id", "rep")
-    lone = members.where("doc_id <> rep").select("doc_id")
-    reps = full.join(lone, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
-    buckets = checkpointed(reps.select("rep", F.explode("bands").alias("key")))
+    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    members = checkpointed(full.select("doc_id", "fp1", "fp2").join(classes.where("rep < last"), ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep", "fp1", "fp2").distinct())
+    several = full.select("doc_id", "fp1", "fp2").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")  # ids with different texts
+    buckets = checkpointed(full.join(members, ["doc_id", "fp1", "fp2"], "left_anti").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")))
     led = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
     met = checkpointed(buckets.join(led, "key").where("rep <> leader").select("key", "leader", "rep"))
     stars = checkpointed(met.select("leader", "rep").distinct())
@@ -245,24 +244,37 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     sets = checkpointed(shingle_sets(base.join(wanted, "doc_id", "left_semi"), shingle, words))
     sizes = sets.select("doc_id", F.expr("octet_length(shingles) div 8").alias("n"))
     edges = checkpointed(verified(blocks_of_stars(stars), sets, FAMILY_PERCENT, False))
-    starred = edges.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
-    apart = met.join(edges.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near"), ["leader", "rep"], "left").where("near is null or not near").select("key", F.col("rep").alias("doc_id"), F.col("near").isNull().alias("x"))
-    # links among members of one leader are found with the families below
-    left = apart.join(starred, "doc_id", "left").join(sizes, "doc_id").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "x")
-    edges = checkpointed(edges.union(verified(blocks_of_leftovers(checkpointed(left)), sets, PERCENT, True)))
-    links = edges.where("linked").select("a", "b")
-    labels = components(links)
-    families = components(edges.select("a", "b"))
-    nodes = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").join(sizes, "doc_id").select("doc_id", "family", F.coalesce("label", "doc_id").alias("label"), "n")
-    more = checkpointed(verified(blocks_of_families(nodes), sets, PERCENT, True))
-    same = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")).union(same)
-    found = components(joined).select(F.col("node").alias("doc_id"), F.col("component").alias("_component"))
+    tied = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(edges.where("linked").select("a", "b").union(tied))
+
+    found = edges.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near")
+    far = stars.join(found.where("near"), ["leader", "rep"], "left_anti").join(found, ["leader", "rep"], "left").select("leader", "rep", F.col("near").isNull().alias("x"))
+    labelled = lambda nodes: relabelled(nodes.withColumn("label", F.col("doc_id")), "label", labels)
+    left = labelled(met.join(far, ["leader", "rep"]).select("key", F.col("rep").alias("doc_id"), "x")).join(sizes, "doc_id").select("key", "doc_id", "label", "n", "x")
+    edges = edges.union(verified(blocks_of_leftovers(checkpointed(left)), sets, PERCENT, True))
+
+    ends = relabelled(relabelled(edges.select("a", "b", "linked"), "a", labels), "b", labels).where("a <> b")
+    across = checkpointed(ends.groupBy("a", "b").agg(F.max("linked").alias("linked")))
+    if not across.isEmpty():
+        families = components(across.select("a", "b"))
+        families = families.union(families.select("component", "component").distinct())
+        nodes = labelled(sizes).join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
+        nodes = checkpointed(relabelled(nodes, "label", components(across.where("linked").select("a", "b"))))
+        more = verified(blocks_of_families(nodes), sets, PERCENT, True).select("a", "b")
+        last = components(across.where("linked").select("a", "b").union(relabelled(relabelled(more, "a", labels), "b", labels)))
+        labels = checkpointed(relabelled(labels, "component", last).unionByName(last))
+    copies = relabelled(members.select("doc_id", F.col("rep").alias("component")), "component", labels)
+    found = copies.union(labels.select("node", "component")).groupBy("doc_id").agg(F.min("component").alias("_component"))
     return rows_.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, shingle: int = 5, words: str = "space") -> DataFrame:
-    """The documents (all their columns) that are kept; rows that repeat a doc_id and text are one."""
+    """The documents (all their columns) that are kept; rows that repeat a doc_id and text are one.
+
+    Rows of one doc_id with different texts stay or go together. A null text is a text of its
+    own here. Rows without a doc_id stay, each text once.
+    """
     found = near_duplicates(documents, shingle, words).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    left = documents.join(found, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("h1"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("h2"))
+    left = rows.join(found, F.col("_id") == F.col("_dropped"), "left_anti")
+    return left.dropDuplicates(["_id", "h1", "h2"]).select("row.*")
