@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 
 class CancellationError(Exception):
     def __init__(self, message: str = "call cancelled"):
@@ -26,8 +29,19 @@ class QueueFullError(Exception):
 
 
 class RemoteError(Exception):
-    """An exception raised inside a call, with the name, message and stack it had there."""
+    """An exception raised inside a call, with the name, message and stack it had there.
+
+    ``details`` has the exception's own properties (as JSON made them); they can be read as
+    attributes too.
+    """
 
-    def __init__(self, name: str, message: str, stack: str | None = None):
+    def __init__(self, name: str, message: str, stack: str | None = None, details: str | None = None):
         super().__init__(f"{name}: {message}")
         self.name, self.message, self.stack = name, message, stack
+        self.details = json.loads(details) if details else {}
+
+    def __getattr__(self, name: str) -> Any:
+        details = self.__dict__.get("details", {})
+        if isinstance(details, dict) and name in details:
+            return details[name]
+        raise AttributeError(name)

@@ -20,6 +20,7 @@ class TaskFuture:
         self._timer: threading.Timer | None = None
         self._on_cancel: Callable[[BaseException], None] | None = None
         self._arm: Callable[[float], bool] | None = None
+        self._task: Any = None
 
     @property
     def pending(self) -> bool:
