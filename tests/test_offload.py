@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import tidewheel as tw
 from tidewheel.operators.gather import with_sequence
 from tidewheel.operators.lifecycle import map_with_hooks
-from tidewheel.plans.schedule import on_workers
+from tidewheel.plans.schedule import on_workers, through_queue
 from tidewheel.sources.tables import calls
 from tidewheel.streaming.offload import offload_stream, run_to
 
@@ -45,10 +45,20 @@ def test_envelope_keeps_errors_events_and_output(spark):
     rows = calls(spark, [(1,), (2,), (None,)], "n long").select(tw.call_safe(work, "n", returns="long", capture=True).alias("e")).collect()
     assert [r.e.value for r in rows] == [1, None, None]
     assert [r.e.error and r.e.error.name for r in rows] == [None, "KeyError", None]
-    assert "KeyError" in rows[1].e.error.stack
+    assert "KeyError" in rows[1].e.error.stack and rows[1].e.error.details is None
     assert rows[0].e.events[0].payload == '{"foo": 1}' and rows[0].e.stdout == "out 1\n"
 
 
+def test_an_error_keeps_its_own_properties_and_need_not_have_a_stack(spark):
+    def fails(n):
+        error = ValueError("no")
+        error.value = 42
+        raise error
+
+    e = spark.range(1).select(tw.call_safe(fails, "id", returns="long", stack=False).alias("e")).first().e
+    assert e.error.details == '{"value": 42}' and e.error.stack is None
+
+
 def test_coroutines_are_awaited(spark):
     async def slow_add(a, b):
         await asyncio.sleep(0.01)
@@ -97,6 +107,16 @@ def test_schedule_matches_a_plain_loop(spark):
         assert got[c] == (w, start, start + run, d > 4.0)
 
 
+def test_bursts_through_queues(spark):
+    rows = [(None, 1, 5.0), (None, 2, 0.0)] + [(1, i, p) for i, p in enumerate([5.0, 3.0, 1.0, None, 2.0, 9.0])]
+    df = spark.createDataFrame(rows, "p long, c long, rank double")
+    order = lambda **options: [r.call for r in through_queue(df, "p", "c", **options).where("pool = 1 and state <> 'rejected'").orderBy("run_order").collect()]
+    assert order() == [0, 1, 2, 3, 4, 5] and order(strategy="lifo") == [0, 5, 4, 3, 2, 1]
+    assert order(strategy="priority", priority=F.col("rank")) == [0, 2, 4, 1, 3, 5]
+    assert order(strategy="lifo", workers=2, max_waiting=3) == [0, 1, 4, 3, 2]
+    assert through_queue(df, "p", "c").where("pool is null").count() == 2 and through_queue(df.where("false"), "p", "c").count() == 0
+
+
 def test_stream_goes_on_after_a_failing_call(spark, tmp_path):
     spark.range(6).write.parquet(str(tmp_path / "in"))
     seen = []

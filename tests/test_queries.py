@@ -6,7 +6,7 @@ import pytest
 from tidewheel.queries import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events", "customer")
+TABLES = ("orders", "lineitem", "events", "customer", "nation")
 
 
 @pytest.fixture(scope="module")
