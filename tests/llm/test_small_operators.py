@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -213,15 +214,43 @@ def test_license_scan(spark, docs, odd):
 
 
 def test_license_join_is_exact(spark, docs):
+    """Blocks of every size class against plain sets; some templates have words that a match must have."""
     rng = np.random.default_rng(1)
-    words = [f"t{i}" for i in range(40)]
-    templates = [(f"l{i}", " ".join(rng.choice(words, rng.integers(3, 15), replace=False))) for i in range(12)]
-    rows = [(i, ".\n".join(" ".join(rng.choice(words + ["z"] * 20, rng.integers(1, 40))) for _ in range(3))) for i in range(150)]
+    words = [f"t{i}" for i in range(60)]
+    templates = []
+    for i in range(14):
+        own = list(rng.choice(words, rng.integers(3, 15) if i < 10 else rng.integers(20, 40), replace=False))
+        templates.append((f"l{i}", " ".join(own), own[0]) if i % 2 else (f"l{i}", " ".join(own)))
+    rows = [(i, " # ".join(rng.choice(words + ["z"] * 40, rng.integers(1, 300)))) for i in range(120)]
     got = {r.doc_id: r.labels for r in licenses.scan(docs(rows), templates=templates, threshold=0.7).collect()}
+    seen = set()
     for i, text in rows:
-        want = set()
-        for line in text.split(".\n"):
-            for label, t in templates:
-                if len(set(line.split()) & set(t.split())) >= 0.7 * len(set(t.split())) - 1e-9:
+        w, want = text.split(" # "), set()
+        for label, t, *must in templates:
+            span = max(16, 1 << (len(t.split()) - 1).bit_length())
+            for at in range(0, len(w), span):
+                block = set(w[at : at + 2 * span])
+                if len(block & set(t.split())) >= 0.7 * len(set(t.split())) - 1e-9 and set(must) <= block:
                     want.add(label)
         assert got[i] == ",".join(sorted(want))
+        seen |= want
+    assert len(seen) > 8
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "      "])
+def test_wrapped_notices_are_found(docs, mark):
+    """However a notice is broken into lines, and whatever they begin with."""
+    before, after = "some words of a file that come first " * 9, " and then others follow" * 9
+    rows = []
+    for i, (_, text, *_) in enumerate(licenses.TEMPLATES):
+        lines = textwrap.wrap(before + text + after, 72)
+        rows.append((i, "\n".join(mark + line for line in lines)))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(rows)).collect()}
+    assert all(label in got[i] for i, (label, *_) in enumerate(licenses.TEMPLATES))
+
+
+def test_licenses_that_differ_in_a_word_are_told_apart(docs):
+    scattered = "released " + "word " * 40 + "under " + "word " * 40 + "the mit " + "word " * 40 + "license"
+    rows = [(1, "Licensed under CC BY 4.0"), (2, "Licensed under CC BY-SA 4.0"), (3, "This work is licensed under the GNU General Public License, version 2"), (4, scattered), (5, "Released under the Apache License"), (6, "Licensed under CC BY-NC 4.0")]
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(rows)).collect()}
+    assert got == {1: "cc-by", 2: "cc-by", 3: "gpl", 4: "", 5: "apache", 6: "cc-by,cc-by-nc-4.0"}

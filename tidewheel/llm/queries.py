@@ -131,17 +131,18 @@ islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUND
 SELECT doc_id, CAST(min(a) AS BIGINT) AS first_word, CAST(max(b) AS BIGINT) AS end_word, count(DISTINCT source) AS n_sources, min(source) AS source_doc_id
 FROM islands GROUP BY doc_id, island""",
     "op7_license_scan": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("text")} AS w FROM documents),
+WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 p(words, label) AS (VALUES {", ".join(f"({p.split(' ')}, '{label}')" for p, label in licenses.PHRASES.items())}),
 hits AS (
   SELECT doc_id, i - 1 AS k, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p
   WHERE w[i] = words[1] AND list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word FROM hits GROUP BY doc_id),
-t(id, label, words, need) AS (VALUES {", ".join(f"({i}, '{label}', {licenses.template_words(text)}, {licenses.need_of(licenses.template_words(text), licenses.THRESHOLD)})" for i, (label, text) in enumerate(licenses.TEMPLATES))}),
-lines AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([^.!?:\n])\n([a-z(])', '\1 \2', 'g'), chr(10))) AS line FROM d),
-blocks AS (SELECT doc_id, {WORDS.format("line")} AS w FROM lines),
+t(id, label, words, must, need, span) AS (VALUES {", ".join(f"({i}, '{t.label}', {list(t.words)}, {list(t.must)}, {t.need}, {t.span})" for i, t in enumerate(map(licenses.made, licenses.TEMPLATES)))}),
+blocks AS (
+  SELECT doc_id, span, list_slice(w, i + 1, i + 2 * span) AS w
+  FROM (SELECT doc_id, w, span, unnest(range(0, len(w), span)) AS i FROM d, (SELECT DISTINCT span FROM t))),
 shares AS (
-  SELECT doc_id, label, len(list_intersect(w, words)) AS c, len(words) AS n, need FROM blocks, t WHERE len(w) >= need),
+  SELECT doc_id, label, len(list_intersect(w, words)) AS c, len(words) AS n, need FROM blocks JOIN t USING (span) WHERE list_has_all(w, must)),
 found AS (SELECT doc_id, label, max(c / n) AS share FROM shares WHERE c >= need GROUP BY ALL),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 b AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM hits) GROUP BY doc_id),
