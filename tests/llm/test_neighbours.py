@@ -23,7 +23,19 @@ def found(df):
     return {q: [x[i] for i in sorted(x)] for q, x in out.items()}
 
 
-def test_recall_on_clusters_and_noise(spark):
+def test_groups_of_leaves():
+    counts = np.array([5, 4, 0, 30, 2, 2, 9, 10])
+    group, parts = neighbours.grouped(counts, 10)
+    assert group.tolist() == [0, 0, 0, 1, 2, 2, 3, 4] and parts.tolist() == [1, 3, 1, 1, 1]
+    assert all(counts[group == g].sum() <= 10 * p for g, p in enumerate(parts))
+
+
+@pytest.mark.parametrize("size", [None, 48])
+def test_recall_on_clusters_and_noise(spark, monkeypatch, size):
+    """Whole, and with leaves and their queries cut into small parts."""
+    if size:
+        monkeypatch.setattr(neighbours, "X_BLOCK", size)
+        monkeypatch.setattr(neighbours, "Q_BLOCK", 16)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16)) * 3
     v = np.concatenate([centres[rng.integers(20, size=3000)] + rng.normal(size=(3000, 16)), rng.normal(size=(1000, 16))]).astype(np.float32)

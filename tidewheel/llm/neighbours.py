@@ -8,6 +8,11 @@ calibrated: the neighbours of ``probes`` queries are found by comparing them wit
 vector, and the leaf visits are widened until the queue reaches ``recall`` of them. Data
 without structure needs most of the leaves, up to all of them, which is then exact.
 
+Leaves are dealt out in groups of neighbouring leaves, which the vectors of one task make up
+(a large leaf is several groups); a query goes once to each group that holds leaves it visits.
+So a vector is sent once for each ``Q_BLOCK`` queries of its group, a query once for each
+group, and what a task holds is bounded.
+
 Equal vectors are searched once as a class; its 21 smallest vec_ids stand for it, which is
 enough for any answer of 20, so a vector that a third of the rows share costs one vector.
 """
@@ -24,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, groups, partitions
 
-SAMPLE, PROBES, RECALL = 20_000, 200, 0.97
+SAMPLE, PROBES, RECALL = 65_536, 200, 0.97
 BRANCH, LEAF_ROWS, LEAST_SAMPLE, ROUNDS = 8, 1024, 16, 10
-X_BLOCK, Q_BLOCK = 4096, 1024
+#: Vectors and queries that meet in one task: 16 MB of each at 64 components.
+X_BLOCK, Q_BLOCK = 32_768, 32_768
 
 
 class Tree:
@@ -151,30 +157,43 @@ def search(vectors: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0", i
         counts[r["leaf"]] = r["count"]
     widest = calibrated(tree, asked, indexed, counts, width, k, probes, recall)
 
+    group, parts = grouped(counts, min(X_BLOCK, max(leaf_rows, int(total) // (4 * partitions(spark)))))
+
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                q = np.hstack([matrix(b.column(1), width), np.zeros((b.num_rows, 1))])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shared.value.visits(x, counts, widest, k + 1) for x in q], pa.list_(pa.int32()))], names=["rep", "v", "leaves"])
-
-    visits = checkpointed(asked.mapInArrow(visiting, "rep long, v array<double>, leaves array<int>"))
-    wanted = visits.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
-    plan = spark.createDataFrame([(r["leaf"], -(-int(counts[r["leaf"]]) // X_BLOCK), -(-r["count"] // Q_BLOCK)) for r in wanted], "leaf int, nx long, nq long").where("nx > 0")
-    plan = F.broadcast(plan)  # one row per leaf at most; a leaf has LEAST_SAMPLE vectors of the bounded sample at least
+            if not b.num_rows:
+                continue
+            q = np.hstack([matrix(b.column(1), width), np.zeros((b.num_rows, 1))])
+            of, groups_, leaves_ = [], [], []
+            for i, x in enumerate(q):
+                by_group: dict[int, list[int]] = {}
+                for leaf in shared.value.visits(x, counts, widest, k + 1):
+                    by_group.setdefault(int(group[leaf]), []).append(leaf)
+                of += [i] * len(by_group)
+                groups_ += by_group
+                leaves_ += by_group.values()
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(groups_, pa.int32()), pa.array(leaves_, pa.list_(pa.int32()))], names=["rep", "v", "group", "leaves"])
+
+    visits = checkpointed(asked.mapInArrow(visiting, "rep long, v array<double>, group int, leaves array<int>"))
+    wanted = visits.groupBy("group").count().collect()
+    plan = F.broadcast(spark.createDataFrame([(r["group"], int(parts[r["group"]]), -(-r["count"] // Q_BLOCK)) for r in wanted], "group int, nx long, nq long"))  # a row for each group of leaves at most
+    of_leaf = F.broadcast(spark.createDataFrame([(leaf, int(g)) for leaf, g in enumerate(group)], "leaf int, group int"))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    block = F.xxhash64("leaf", "xb", "qb").alias("block")
-    xs = indexed.join(plan, "leaf").withColumn("xb", F.pmod(F.xxhash64("rep", F.lit(1)), "nx")).withColumn("qb", span("nq")).select(block, F.lit(0).alias("asks"), "rep", "v")
-    qs = visits.select("rep", "v", F.explode("leaves").alias("leaf")).join(plan, "leaf").withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(2)), "nq")).withColumn("xb", span("nx")).select(block, F.lit(1).alias("asks"), "rep", "v")
+    block = F.xxhash64("group", "xb", "qb").alias("block")
+    xs = indexed.join(of_leaf, "leaf").join(plan, "group").withColumn("xb", F.pmod(F.xxhash64("rep", F.lit(1)), "nx")).withColumn("qb", span("nq")).select(block, F.lit(0).alias("asks"), "rep", "v", F.array("leaf").alias("leaves"))
+    qs = visits.join(plan, "group").withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(2)), "nq")).withColumn("xb", span("nx")).select(block, F.lit(1).alias("asks"), "rep", "v", "leaves")
     dealt = xs.union(qs).repartition(partitions(spark), "block").sortWithinPartitions("block", "asks")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "block"):
             g = g.combine_chunks()
             asks = np.asarray(g.column("asks").combine_chunks()) == 1
-            ids, v = np.asarray(g.column("rep").combine_chunks()), matrix(g.column("v").combine_chunks(), width)
             if asks.all() or not asks.any():
                 continue
-            yield best(ids[asks], v[asks], ids[~asks], v[~asks], k + 1)
+            ids, v, leaves_ = np.asarray(g.column("rep").combine_chunks()), matrix(g.column("v").combine_chunks(), width), g.column("leaves").combine_chunks()
+            own = np.asarray(leaves_.filter(pa.array(~asks)).flatten())
+            yield best(ids[asks], v[asks], leaves_.filter(pa.array(asks)).to_pylist(), ids[~asks], v[~asks], own, k + 1)
 
     near = "array<struct<score:double,low:bigint>>"
     partial = dealt.mapInArrow(compared, f"query long, near {near}")
@@ -187,15 +206,33 @@ def search(vectors: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0", i
     return own.select("query_id", F.posexplode("found").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.far")).alias("score"))
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of each query; ids are given negated, so that larger means earlier in both fields."""
+def grouped(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each leaf, and into how many parts the vectors of each group are cut; groups are leaves in a row with ``size`` vectors at most, or one leaf."""
+    group, parts, held = np.zeros(len(counts), dtype=np.int32), [], 0
+    for leaf, n in enumerate(counts.tolist()):
+        if not parts or held + n > size:
+            parts.append(1)
+            held = 0
+        group[leaf] = len(parts) - 1
+        held += n
+        parts[-1] = max(1, -(-held // size))
+    return group, np.array(parts, dtype=np.int64)
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, visited: list[list[int]], ids: np.ndarray, vectors: np.ndarray, leaves: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each query in the leaves it visits; ids are given negated, so that larger means earlier in both fields."""
     near = []
-    for a in range(0, len(query_ids), 256):
-        scores = queries[a : a + 256] @ vectors.T
-        for row in scores:
-            top = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-            top = top[np.lexsort((ids[top], -row[top]))][:k]
-            near.append([{"score": s, "low": -i} for s, i in zip(row[top].tolist(), ids[top].tolist(), strict=True)])
+    kinds, own = np.unique(leaves, return_inverse=True)
+    step = max(1, min(256, (1 << 22) // max(1, len(ids))))
+    for a in range(0, len(query_ids), step):
+        scores = queries[a : a + step] @ vectors.T
+        for row, asked in zip(scores, visited[a : a + step], strict=True):
+            here = np.isin(kinds, asked)
+            at = np.arange(len(row)) if here.all() else np.flatnonzero(here[own])
+            got = row[at]
+            top = np.flatnonzero(got >= np.partition(got, len(got) - k)[len(got) - k]) if len(got) > k else np.arange(len(got))
+            top = top[np.lexsort((ids[at[top]], -got[top]))][:k]
+            near.append([{"score": s, "low": -i} for s, i in zip(got[top].tolist(), ids[at[top]].tolist(), strict=True)])
     return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(near, pa.list_(pa.struct([("score", pa.float64()), ("low", pa.int64())])))], names=["query", "near"])
 
 
