@@ -84,7 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words of a text: A-Z lower-cased, runs of anything but ASCII other than digits and letters.
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: The shard of every slot as one character, 64 of them from "0" on; the tests hold the table against plain lists.
+TABLE = "".join(chr(48 + i) for i in sharding.lookup_table([f"shard-{i}" for i in range(sharding.SHARDS)]).tolist())
+
 ORACLE: dict[str, str] = {
+    "op1_sharding": f"""
+WITH s AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, CAST(ascii(substr('{TABLE}', slot + 1, 1)) - 48 AS INTEGER) AS shard FROM s""",
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 b AS (SELECT item_id, {WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),

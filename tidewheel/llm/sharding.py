@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TABLE_SIZE = 65_537
@@ -54,12 +54,17 @@ def lookup_table(shards: list[str], table_size: int = TABLE_SIZE, weights: list[
     return out
 
 
+def slot_of(keys: list[str], table_size: int) -> Column:
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(table_size)).cast("int")
+
+
 def assign(df: DataFrame, keys: list[str], shards: list[str] | None = None, table_size: int = TABLE_SIZE, weights: list[float] | None = None, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """Adds the slot and the shard (index into ``shards``) of each row.
 
-    The slot is xxhash64(keys) mod table_size. Nulls hash like Spark's xxhash64 does (a null
-    key leaves the seed unchanged), so rows with null keys have a place too. Equal keys always
-    share a shard; give a unique key (not a source or language) where one value may hold a
+    The slot is the first 60 bits of the MD5 of the keys' texts (a unit separator between
+    them) mod table_size, which other systems can compute as well. A null key counts as an
+    empty text, so rows with null keys have a place too. Equal keys always share a shard; give a unique key (not a source or language) where one value may hold a
     large part of the rows. Columns named like the added ones are replaced. An empty table
     stays empty. The look-up is a map-side join with the broadcast table: no shuffle.
     """
@@ -67,7 +72,7 @@ def assign(df: DataFrame, keys: list[str], shards: list[str] | None = None, tabl
     lookup = lookup_table(names, table_size, weights)
     spark = df.sparkSession
     places = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lookup)], f"`{slot}` int, `{shard}` int")
-    keyed = df.drop(shard).withColumn(slot, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(table_size)).cast("int"))
+    keyed = df.withColumn(slot, slot_of(keys, table_size)).drop(shard)
     return keyed.join(F.broadcast(places), slot, "left")
 
 
