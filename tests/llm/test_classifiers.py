@@ -98,3 +98,36 @@ def test_word_vectors_are_sums_over_all_documents(spark, docs):
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     want = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
     assert np.allclose(quality.word_vectors(docs(list(enumerate(texts)))), want, atol=1e-6)
+
+
+def test_pooling_network_and_temperature_match_plain_loops():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(quality.PLACES, quality.WIDTH)).astype(np.float32)
+    docs_ = [np.array(x, dtype=np.int64) for x in ([], [5], [1, 2, 2, 9, 1, 1], list(rng.integers(0, quality.PLACES, 400)))]
+    got = quality.pooled(docs_, vectors)
+    for row, ids in zip(got, docs_, strict=True):
+        if not len(ids):
+            assert not row.any()
+            continue
+        own = [vectors[i].astype(float) for i in ids]
+        mean = [sum(v[k] for v in own) / len(own) for k in range(quality.WIDTH)]
+        spread = [max(0.0, sum(v[k] ** 2 for v in own) / len(own) - mean[k] ** 2) ** 0.5 for k in range(quality.WIDTH)]
+        times = {i: list(ids).count(i) for i in ids}
+        same = sum(a == b for a, b in zip(ids, ids[1:], strict=False)) / (len(ids) - 1) if len(ids) > 1 else 0
+        rest = [np.log1p(len(ids)), len(times) / len(ids), max(times.values()) / len(ids), same, np.log1p(len(ids) / len(times)), sum(m * m for m in mean) ** 0.5]
+        assert np.allclose(row, [*mean, *spread, *rest], atol=1e-6)
+    width = got.shape[1]
+    net = quality.Network(vectors, rng.normal(size=width), rng.uniform(1, 2, width), rng.normal(size=(width, quality.HIDDEN)), rng.normal(size=quality.HIDDEN), rng.normal(size=quality.HIDDEN), 0.3, 1.7)
+    for row, score in zip(got, net.scores(got), strict=True):
+        hidden = [np.tanh(sum((row[i] - net.shift[i]) / net.scale[i] * net.w1[i, j] for i in range(width)) + net.b1[j]) for j in range(quality.HIDDEN)]
+        assert score == pytest.approx(1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + 0.3) / 1.7)))
+
+
+def test_the_temperature_has_the_least_loss_on_what_was_kept_apart():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 2 * quality.WIDTH + quality.EXTRA))
+    y = (x[:, 0] + rng.normal(size=400) * 2 > 0).astype(float)
+    net = quality.trained(x, y, np.zeros((1, 1)))
+    raw, want = net.raw(x[::5]), y[::5]
+    loss = lambda t: float(np.mean(np.log1p(np.exp(-np.where(want == 1, raw, -raw) / t))))
+    assert net.temperature > 1 and loss(net.temperature) <= min(loss(t) for t in np.geomspace(0.25, 8, 41)) + 1e-9
