@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -98,48 +99,63 @@ RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def scanned(df: DataFrame, patterns: Patterns, again: bool, last: bool, one_in: int, carry: str) -> DataFrame:
-    """Adds the word ranges and items of one block to those of the blocks before; after the last, the result columns."""
-    broadcast = df.sparkSession.sparkContext.broadcast(patterns)
+def hits(texts: DataFrame, patterns: Patterns) -> DataFrame:
+    """texts: h1, h2, _text. The word ranges and items of those in which something occurs, one row for each h1, h2."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = broadcast.value.build()
+        for batch in batches:
+            for part, raw in slices(batch, "_text"):
+                found = [block.scan(alnum_words(x or b"")) for x in raw]
+                some = pa.array([i for i, (ranges, _) in enumerate(found) if ranges], pa.int64())
+                if len(some):
+                    held = [found[i] for i in some.to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(1).take(some), pa.array([ranges_of(r) for r, _ in held], RANGES), pa.array([sorted(x) for _, x in held], pa.list_(pa.int64()))], names=["h1", "h2", "ranges", "items"])
+
+    rows = texts.mapInArrow(run, "h1 long, h2 long, ranges array<struct<first:int,last:int>>, items array<bigint>")
+    return rows.groupBy("h1", "h2").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items"))
+
+
+def concluded(df: DataFrame, patterns: Patterns | None, one_in: int) -> DataFrame:
+    """The result columns of df (row, _text): by a scan for ``patterns`` or, without them, from the hits in its column _found."""
+    broadcast = df.sparkSession.sparkContext.broadcast(patterns) if patterns else None
 
     def digest(items: list[int]) -> str:
         return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest() if items else NOTHING
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = broadcast.value.build()
+        block = broadcast.value.build() if broadcast else None
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 counts, spans, items = [], [], []
-                old = [part.column(part.schema.get_field_index(k)).to_pylist() for k in ("_spans", "_items")] if again else None
+                known = None if block else part.column(part.schema.get_field_index("_found")).to_pylist()
                 for i, raw in enumerate(texts):
                     words = alnum_words(raw or b"")
-                    ranges, found = block.scan(words)
-                    if old:
-                        ranges = merged([*ranges, *((x["first"], x["last"]) for x in old[0][i])])
-                        found |= set(old[1][i])
+                    if block:
+                        ranges, found = block.scan(words)
+                    else:
+                        ranges = merged([(x["first"], x["last"]) for f in known[i] or () for x in f["ranges"]])
+                        found = {x for f in known[i] or () for x in f["items"]}
                     counts.append(len(words))
                     spans.append(ranges)
                     items.append(sorted(found))
-                if last:
-                    hit = np.array([sum(b - a for a, b in s) for s in spans], dtype=np.int64)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "row": part.column(part.schema.get_field_index("row")),
-                            "n_words": pa.array(counts, pa.int64()),
-                            "n_hit": pa.array(hit),
-                            "n_items": pa.array([len(x) for x in items], pa.int64()),
-                            "item_ids": pa.array(items, pa.list_(pa.int64())),
-                            "items_sha256": pa.array([digest(x) for x in items], pa.string()),
-                            "spans": pa.array([ranges_of(char_spans(texts[i].decode(), s) if s else []) for i, s in enumerate(spans)], RANGES),
-                            "contaminated": pa.array((hit > 0) & (one_in * hit >= np.array(counts, dtype=np.int64))),
-                        }
-                    )
-                else:
-                    yield pa.RecordBatch.from_pydict({"row": part.column(part.schema.get_field_index("row")), "_text": part.column(part.schema.get_field_index("_text")), "_spans": pa.array([ranges_of(s) for s in spans], RANGES), "_items": pa.array(items, pa.list_(pa.int64()))})
-
-    ranges = "array<struct<first:int,last:int>>"
-    out = f"n_words long, n_hit long, n_items long, item_ids array<bigint>, items_sha256 string, spans {ranges}, contaminated boolean" if last else f"_text string, _spans {ranges}, _items array<bigint>"
-    return df.mapInArrow(run, f"row {carry}, {out}")
+                hit = np.array([sum(b - a for a, b in s) for s in spans], dtype=np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": part.column(part.schema.get_field_index("row")),
+                        "n_words": pa.array(counts, pa.int64()),
+                        "n_hit": pa.array(hit),
+                        "n_items": pa.array([len(x) for x in items], pa.int64()),
+                        "item_ids": pa.array(items, pa.list_(pa.int64())),
+                        "items_sha256": pa.array([digest(x) for x in items], pa.string()),
+                        "spans": pa.array([ranges_of(char_spans(texts[i].decode(), s) if s else []) for i, s in enumerate(spans)], RANGES),
+                        "contaminated": pa.array((hit > 0) & (one_in * hit >= np.array(counts, dtype=np.int64))),
+                    }
+                )
+
+    carry = df.schema["row"].dataType.simpleString()
+    return df.mapInArrow(run, f"row {carry}, n_words long, n_hit long, n_items long, item_ids array<bigint>, items_sha256 string, spans array<struct<first:int,last:int>>, contaminated boolean")
 
 
 def ranges_of(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -153,17 +169,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     column of the input can clash with the results. ``spans`` are character ranges (end
     exclusive) of the original text. Contaminated: some word is hit, and at least one word in
     ``one_in`` is. The benchmark is measured first and read to the driver in blocks of about
-    ``block_bytes``; each block is one automaton, and only one block is held at a time.
+    ``block_bytes``; each block is one automaton, and only one block is held at a time. With
+    one block a document is scanned once, without a shuffle. With more, each block is a scan
+    of its own, of which only the texts with hits go on, and these are joined to the documents
+    by a 128-bit hash of the text.
     """
     tests = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     df = documents.select(F.struct(*[F.col(c) for c in carry or ["doc_id"]]).alias("row"), F.col(text_column).cast("string").alias("_text"))
-    carried = df.schema["row"].dataType.simpleString()
-    for b in range(blocks):
+
+    def block(b: int) -> Patterns:
         chosen = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else tests
-        items = [(r["item"], r["text"].encode()) for r in chosen.distinct().toLocalIterator()]
-        df = scanned(df, Patterns(items, window), b > 0, b + 1 == blocks, one_in, carried)
-        if b + 1 < blocks:
-            df = checkpointed(df)
-    return df
+        return Patterns([(r["item"], r["text"].encode()) for r in chosen.distinct().toLocalIterator()], window)
+
+    if blocks == 1:
+        return concluded(df, block(0), one_in)
+    key = [F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2")]
+    texts = df.select(*key, "_text")
+    found = reduce(DataFrame.union, [checkpointed(hits(texts, block(b))) for b in range(blocks)])
+    found = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("ranges", "items")).alias("_found"))  # one for each block at most
+    return concluded(df.select("*", *key).join(found, ["h1", "h2"], "left").select("row", "_text", "_found"), None, one_in)
