@@ -188,7 +188,7 @@ def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bo
 
 def blocks_of_stars(stars: DataFrame) -> DataFrame:
     """A leader with blocks of its members; a leader of many is repeated in several blocks."""
-    sized = stars.groupBy("leader").agg(F.ceil(F.count("*") / F_BLOCK).alias("n"))
+    sized = checkpointed(stars.groupBy("leader").agg(F.ceil(F.count("*") / F_BLOCK).alias("n")))  # so that the join below can be split at a leader of many
     members = stars.join(sized, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("rep"), "n")).alias("block"), F.lit(False).alias("x"), F.col("rep").alias("doc_id"))
     leaders = sized.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select(F.xxhash64("leader", "k").alias("block"), F.lit(True).alias("x"), F.col("leader").alias("doc_id"))
     return leaders.union(members).withColumn("label", F.col("doc_id"))
