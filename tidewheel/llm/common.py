@@ -19,6 +19,8 @@ ALNUM = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of the input's files for each partition of a shuffle, at most.
+PART_BYTES = 256 << 20
 
 
 def alnum_words(raw: bytes) -> list[bytes]:
@@ -87,9 +89,11 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Arrow batches small enough for very long texts. These settings change no result."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Arrow batches small enough for very long texts, unless the session has sizes of its own. They change no result."""
+    own = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -122,8 +126,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """Partitions of a shuffle: those of the session, and more where the files of ``source`` would give each over PART_BYTES."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source is not None:
+        leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+        files = [leaves.apply(i) for i in range(leaves.size())]
+        size = sum(int(str(x.stats().sizeInBytes())) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
+        n = max(n, -(-size // PART_BYTES))
+    return n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -138,14 +138,14 @@ def join(root: dict[int, int], a: int, b: int) -> bool:
     return ends[0] != ends[1]
 
 
-def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bool) -> DataFrame:
+def verified(blocks: DataFrame, sets: DataFrame, percent: int, one_per_label: bool, parts: int) -> DataFrame:
     """Compares the x rows of each block with its other rows on the full sets: a, b, linked, near.
 
     blocks: block, x (boolean), doc_id, label. Rows with one label are not compared. With
     ``one_per_label`` a block gives no pair of labels that its other pairs join already, which
     is enough for components.
     """
-    rows = blocks.join(sets, "doc_id").repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", F.col("x").desc()).select("block", "x", "doc_id", "label", "shingles")
+    rows = blocks.join(sets, "doc_id").repartition(parts, "block").sortWithinPartitions("block", F.col("x").desc()).select("block", "x", "doc_id", "label", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int, bool, bool]] = []
@@ -231,6 +231,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     table gives no row. Columns other than doc_id and text are not read.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = partitions(base.sparkSession, base)
     rows_ = checkpointed(signed(base, shingle, words, bands, rows))
     full = rows_.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -243,7 +244,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     wanted = stars.select(F.col("leader").alias("doc_id")).union(stars.select("rep")).distinct()
     sets = checkpointed(shingle_sets(base.join(wanted, "doc_id", "left_semi"), shingle, words))
     sizes = sets.select("doc_id", F.expr("octet_length(shingles) div 8").alias("n"))
-    edges = checkpointed(verified(blocks_of_stars(stars), sets, FAMILY_PERCENT, False))
+    edges = checkpointed(verified(blocks_of_stars(stars), sets, FAMILY_PERCENT, False, parts))
     tied = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = components(edges.where("linked").select("a", "b").union(tied))
 
@@ -251,7 +252,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
     far = stars.join(found.where("near"), ["leader", "rep"], "left_anti").join(found, ["leader", "rep"], "left").select("leader", "rep", F.col("near").isNull().alias("x"))
     labelled = lambda nodes: relabelled(nodes.withColumn("label", F.col("doc_id")), "label", labels)
     left = labelled(met.join(far, ["leader", "rep"]).select("key", F.col("rep").alias("doc_id"), "x")).join(sizes, "doc_id").select("key", "doc_id", "label", "n", "x")
-    edges = edges.union(verified(blocks_of_leftovers(checkpointed(left)), sets, PERCENT, True))
+    edges = edges.union(verified(blocks_of_leftovers(checkpointed(left)), sets, PERCENT, True, parts))
 
     ends = relabelled(relabelled(edges.select("a", "b", "linked"), "a", labels), "b", labels).where("a <> b")
     across = checkpointed(ends.groupBy("a", "b").agg(F.max("linked").alias("linked")))
@@ -260,7 +261,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, words: str = "space"
         families = families.union(families.select("component", "component").distinct())
         nodes = labelled(sizes).join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
         nodes = checkpointed(relabelled(nodes, "label", components(across.where("linked").select("a", "b"))))
-        more = verified(blocks_of_families(nodes), sets, PERCENT, True).select("a", "b")
+        more = verified(blocks_of_families(nodes), sets, PERCENT, True, parts).select("a", "b")
         last = components(across.where("linked").select("a", "b").union(relabelled(relabelled(more, "a", labels), "b", labels)))
         labels = checkpointed(relabelled(labels, "component", last).unionByName(last))
     copies = relabelled(members.select("doc_id", F.col("rep").alias("component")), "component", labels)

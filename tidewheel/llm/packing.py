@@ -98,7 +98,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = F
     spark = documents.sparkSession
     rows = checkpointed(encoded(documents, tokenizer, end_id, spaced)).withColumn("tie", F.xxhash64("ids"))
     order = ["key", "doc_id", "tie"]
-    dealt = rows.repartitionByRange(count or partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "n", "width", "ids")
+    dealt = rows.repartitionByRange(count or partitions(spark, documents), *order).sortWithinPartitions(*order).select("doc_id", "n", "width", "ids")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -252,7 +252,7 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     if very := not lists.where("size(common) > 0").isEmpty():
         kept = checkpointed(kept)
     runs, kept = kept.where("suffix is null"), kept.where("suffix is not null").drop("key2")
-    dealt = kept.repartition(partitions(spark), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
+    dealt = kept.repartition(partitions(spark, documents), "key").sortWithinPartitions("key", "suffix", "doc_id", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -151,7 +151,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["doc_id", "_tie"]
-    dealt = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(count or partitions(spark), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    dealt = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(count or partitions(spark, documents), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer, spaced)
