@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -249,3 +250,43 @@ def test_cut_leaves_one_of_each_and_clean_texts_alone(docs, spark):
     assert passages.cut(df).columns == df.columns
     assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "Other — tail.", 4: "clean,  text. ", 5: None}
     assert got[2].n_chars == 13 and got[4].n_chars == 7
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.fixture
+def unlike(spark, tmp_path):
+    """Documents of random words and one passage that all hold, read from files, and the bytes of their texts; joins are by shuffles."""
+    rng = random.Random(8)
+    word = lambda: f"{rng.getrandbits(32):08x}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(10_000)] + passage)) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.read.parquet(str(tmp_path / "documents")), sum(len(t) for _, t in rows)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cut_shuffles_a_text_twice(spark, unlike):
+    """Once to the heads that it shares and once to its spans; all else is small."""
+    df, size = unlike
+    before = shuffled(spark)
+    assert passages.cut(df).where("length(text) < 90000").count() == 29
+    assert 2 * size < shuffled(spark) - before < 2.5 * size + 1_000_000
+
+
+def test_digests_go_as_soon_as_they_are_read(spark, unlike, monkeypatch):
+    """What is left in the shared folder when suffixes are made is small beside the hashes of all kept places."""
+    df, size = unlike
+    folder, make, seen = Path(spark.conf.get("spark.checkpoint.dir")), passages.suffixes, []
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = held()
+    monkeypatch.setattr(passages, "suffixes", lambda *x: seen.append(held() - before) or make(*x))
+    assert passages.repeated(df).count() == 29
+    assert len(seen) == 1 and seen[0] < size // 50

@@ -126,6 +126,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage like ``checkpointed``, in a folder that the caller removes with ``delete_path`` once nothing reads it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def partitions(spark: SparkSession, source: DataFrame | None = None) -> int:
     """Partitions of a shuffle: those of the session, and more where the files of ``source`` would give each over PART_BYTES."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

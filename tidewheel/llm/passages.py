@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words, checkpointed, mix, partitions, slices
+from .common import WordHashes, alnum_words, checkpointed, delete_path, mix, partitions, slices, written
 from .decontamination import WORD, merged
 
 LENGTH, GRAM, RUN, SHARE, TOP = 50, 6, 24, 20_000, 100_000
@@ -241,13 +241,16 @@ def repeated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     pick = Selection(length)
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = checkpointed(digests(base, pick).where(F.col("n") >= length))
+    rows, at_rows = written(digests(base, pick).where(F.col("n") >= length), "digests")
     classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     copies = checkpointed(rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n", "rep").distinct())
-    heads = rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", F.inline("heads"))
+    single, at_single = written(rows.join(copies.select("doc_id", "n"), ["doc_id", "n"], "left_anti").select("doc_id", "heads"), "digests")
+    delete_path(spark, at_rows)
+    heads = single.select("doc_id", F.inline("heads"))
     shared = checkpointed(heads.groupBy("head").agg(F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("head", "c"))
     listed = lambda which: F.collect_set(F.when(which, F.col("head")))
     lists = checkpointed(heads.join(shared, "head").groupBy("doc_id").agg(listed(F.col("c") <= SHARE).alias("wanted"), listed(F.col("c") > SHARE).alias("common")))
+    delete_path(spark, at_single)
     kept = suffixes(base.join(lists, "doc_id").select("doc_id", "text", "wanted", "common"), pick)
     if very := not lists.where("size(common) > 0").isEmpty():
         kept = checkpointed(kept)
@@ -315,8 +318,8 @@ def cut(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spans = repeated(documents, length).select(F.col("doc_id").alias("_doc"), F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))).alias("_spans"))
     columns = documents.columns
-    rows = documents.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"))
-    both = rows.join(spans, "_doc", "left").select("row", F.when(F.col("_spans").isNotNull(), F.col("_text")).alias("_text"), "_spans")
+    rows = documents.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"))  # the text once, as all of it is shuffled
+    both = rows.join(spans, "_doc", "left").select("row", F.when(F.col("_spans").isNotNull(), F.col("row.text").cast("string")).alias("_text"), "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
